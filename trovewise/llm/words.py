@@ -17,7 +17,16 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 1 << 22
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+
+
+class _Cache(dict):
+    """A dictionary that travels empty."""
+
+    def __reduce__(self):
+        return _Cache, ()
+
+
+_powers = _Cache()
 
 
 def _power(base: int, n: int) -> np.ndarray:
