@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, near_dedup
+from . import bpe, chat, decontaminate, line_dedup, near_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,18 +17,37 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size", "keep")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicate_lines(_table(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.segments(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_url_filter": op2_url_filter,
     "op4_line_dedup": op4_line_dedup,
+    "op5_bpe": op5_bpe,
     "op7_decontaminate": op7_decontaminate,
+    "op9_chat_format": op9_chat_format,
 }
 
-ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_url_filter": url_filter.ORACLE,
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op9_chat_format": chat.oracle(),
+}
