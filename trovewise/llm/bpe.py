@@ -38,6 +38,18 @@ def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
+def last_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
+    """The two tokens of whose merge the token comes: those that the merges of lesser rank leave of its bytes.
+
+    Any other pair that joins to the token never meets: merges within its bytes take the same course in every word.
+    """
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 2:
+        at = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], NONE))
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts[0], parts[1]
+
+
 def _let(value: Column, body) -> Column:
     """body of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -53,7 +65,7 @@ class Folds:
     SHIFT = 1 << 20
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        pairs = [(ranks[a], ranks[b], r) for t, r in ranks.items() if len(t) > 1 for a, b in [last_merge(t, ranks)]]
         self.mask = (1 << max(4, len(pairs).bit_length())) - 1
         buckets: list[list[int]] = [[] for _ in range(self.mask + 1)]
         for a, b, r in pairs:
@@ -126,8 +138,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"stream": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
 
-def _head(counts: DataFrame, folds: Folds, head: int, long_piece: int) -> pa.Table:
-    """The most frequent pieces that occur twice at least, and their ids: all pieces of a count, or none."""
+def _head(counts: DataFrame, folds: Folds, head: int, long_piece: int) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """The most frequent pieces that occur twice at least, all of a count or none: their hashes in order, they themselves, where their ids begin, and the ids."""
     have = counts.filter((F.col("n") > 1) & (F.octet_length("piece") <= long_piece))
     least, total = 2, 0
     for row in sorted(have.groupBy("n").count().collect(), key=lambda r: -r["n"]):
@@ -136,11 +148,18 @@ def _head(counts: DataFrame, folds: Folds, head: int, long_piece: int) -> pa.Tab
             least = row["n"] + 1
             break
     coded = written(have.filter(F.col("n") >= least).select("piece", folds.encode(F.col("piece")).alias("ids")), "head")
-    found = [pa.ipc.open_stream(r.stream).read_all() for r in coded.mapInArrow(_packed, "stream binary").toLocalIterator()]
-    if not found:
-        return pa.table({"piece": pa.array([], pa.large_binary()), "ids": pa.array([], pa.large_list(pa.int32()))})
-    table = pa.concat_tables(found)
-    return pa.table({"piece": table["piece"].cast(pa.large_binary()).combine_chunks(), "ids": table["ids"].cast(pa.large_list(pa.int32())).combine_chunks()})
+    known, sizes, ids, hashes = [pa.array([], pa.binary())], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+    for row in coded.mapInArrow(_packed, "stream binary").toLocalIterator():
+        table = pa.ipc.open_stream(row.stream).read_all()
+        lists = table["ids"].combine_chunks()
+        known.append(table["piece"].combine_chunks())
+        hashes.append(words.hash_each(known[-1]))
+        sizes.append(np.diff(np.asarray(lists.offsets)))
+        ids.append(lists.flatten().to_numpy())
+    order = np.argsort(np.concatenate(hashes), kind="stable")
+    size = np.concatenate(sizes)
+    ids = gather(np.concatenate(ids), (np.cumsum(size) - size)[order], size[order])
+    return np.concatenate(hashes)[order], pa.concat_arrays(known).take(pa.array(order)), np.concatenate([[0], np.cumsum(size[order])]).astype(np.int32), ids
 
 
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -149,11 +168,19 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
 
 
+def _places(own: pa.Array, hashes: np.ndarray, known: pa.Array) -> np.ndarray:
+    """The places in known of the pieces, -1 where one isn't there. Hashes find them, their bytes confirm them."""
+    if not len(known):
+        return np.full(len(own), -1)
+    at = np.minimum(np.searchsorted(hashes, h := words.hash_each(own)), len(hashes) - 1)
+    return np.where((hashes[at] == h) & pc.equal(own, known.take(pa.array(at))).to_numpy(zero_copy_only=False), at, -1)
+
+
 def _looked_up(shared, place: str):
     """Two more columns: ids, in which -k - 1 stands for piece k of the second, the document's rare pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, starts, values = shared.value
+        hashes, known, starts, values = shared.value
         sizes = np.diff(starts)
         for batch in batches:
             for a, b in words.chunks(batch.column(place)):
@@ -161,7 +188,7 @@ def _looked_up(shared, place: str):
                 texts = part.column(place)
                 p = pieces.split(texts)
                 own, which, _ = p.distinct()
-                at = pc.index_in(own, known).fill_null(-1).to_numpy(zero_copy_only=False)[which]
+                at = _places(own.cast(pa.binary()), hashes, known)[which]
                 rare = np.flatnonzero(at < 0)
                 text = np.repeat(np.arange(b - a), p.counts)
                 # The rare pieces, each once a text.
@@ -187,9 +214,7 @@ def encode(docs: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY, head
     folds = Folds(ranks)
     counts = written(piece_counts(docs), "pieces")
     table = _head(counts, folds, head, long_piece)
-    coded = table["ids"].combine_chunks()
-    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
-    shared = docs.sparkSession.sparkContext.broadcast((table["piece"].combine_chunks(), coded.offsets.to_numpy(), coded.values.to_numpy(zero_copy_only=False).astype(np.int32)))
+    shared = docs.sparkSession.sparkContext.broadcast(table)
     names = docs.columns
     plain = docs.toDF(*[str(k) for k in range(len(names))])
     schema = T.StructType([T.StructField(str(k), f.dataType) for k, f in enumerate(docs.schema)] + [T.StructField(str(len(names)), T.ArrayType(T.IntegerType())), T.StructField(str(len(names) + 1), T.ArrayType(T.BinaryType()))])

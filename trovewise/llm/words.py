@@ -155,6 +155,19 @@ def split(texts: pa.Array, lower: bool = True) -> Words:
     return Words(data, bounds, starts, stops, np.searchsorted(starts, bounds), sums)
 
 
+def hash_each(values: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each byte string."""
+    _, offsets, data = values.buffers()
+    bounds = np.frombuffer(offsets, np.int32, len(values) + 1, values.offset * 4).astype(np.int64) if len(values) else np.zeros(1, np.int64)
+    n = int(bounds[-1] - bounds[0])
+    if not n:
+        return np.zeros(len(values), np.uint64)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((np.frombuffer(data, np.uint8, n, bounds[0]).astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), dtype=np.uint64, out=sums[1:])
+    bounds = bounds - bounds[0]
+    return mix((sums[bounds[1:]] - sums[bounds[:-1]]) * _power(_INVERSE, n + 1)[bounds[:-1]] + np.diff(bounds).astype(np.uint64))
+
+
 def word_hash(word: str) -> int:
     """The hash that split() gives the word."""
     return int(split(pa.array([word])).hashes[0])
