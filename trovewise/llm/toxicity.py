@@ -121,17 +121,22 @@ def telling(hashes: np.ndarray, counts: np.ndarray, toxic: np.ndarray, precision
     share = toxic.mean() if len(toxic) else 0.0
     if not 0 < share < 1:
         return np.zeros(0, np.uint64)
-    doc = np.tile(np.repeat(np.arange(len(toxic)), counts), len(hashes))
-    known, ids = np.unique(hashes.ravel(), return_inverse=True)
-    pairs = np.unique(ids * np.int64(len(toxic)) + doc)
-    word, of = pairs // len(toxic), pairs % len(toxic)
-    a = np.bincount(word[toxic[of]], minlength=len(known)).astype(float)
-    b = np.bincount(word[~toxic[of]], minlength=len(known)).astype(float)
-    tokens, bad = np.bincount(ids, minlength=len(known)), np.bincount(ids[toxic[doc]], minlength=len(known))
-    total = a + b
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.where(a > 0, a * np.log(a / (total * share)), 0) + np.where(b > 0, b * np.log(b / (total * (1 - share))), 0)
-    return known[(known > 0) & (a >= share * total) & (ratio > np.log(len(known) / chance)) & (bad >= precision * tokens)]
+    doc = np.repeat(np.arange(len(toxic)), counts)
+    found, kinds = [], 0
+    for row in hashes:
+        known, ids = np.unique(row, return_inverse=True)
+        tokens, bad = np.bincount(ids, minlength=len(known)), np.bincount(ids[toxic[doc]], minlength=len(known))
+        pairs = np.unique(ids * np.int64(len(toxic)) + doc)
+        word, of = pairs // len(toxic), pairs % len(toxic)
+        a = np.bincount(word[toxic[of]], minlength=len(known)).astype(float)
+        b = np.bincount(word[~toxic[of]], minlength=len(known)).astype(float)
+        total = a + b
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(a > 0, a * np.log(a / (total * share)), 0) + np.where(b > 0, b * np.log(b / (total * (1 - share))), 0)
+        good = np.flatnonzero((known > 0) & (a >= share * total) & (bad >= precision * tokens))
+        found.append((known[good], ratio[good]))
+        kinds += len(known)
+    return np.sort(np.concatenate([k[r > np.log(kinds / chance)] for k, r in found]))
 
 
 def _bands(w: words.Words, bands: int = 8) -> np.ndarray:
@@ -169,19 +174,20 @@ def fit(texts: list[str | None], toxic: np.ndarray, tokens: int = 400_000, steps
     The gradient reads about so many tokens of the sample, whole texts of either class in turn; all else reads all of it.
     """
     column = pa.array(texts, pa.large_string())
-    parts = []
-    for x, y in words.chunks(column):
-        w = words.split(column.slice(x, y - x))
-        parts.append((_features(w), w.counts, _bands(w)))
-    if not parts:
+    spans = list(words.chunks(column, 1 << 20))
+    if not spans:
         return None
-    counts, bands = np.concatenate([c for _, c, _ in parts]), np.concatenate([k for _, _, k in parts], 1)
+    counts, bands = [], []
+    for x, y in spans:
+        w = words.split(column.slice(x, y - x))
+        counts.append(w.counts)
+        bands.append(_bands(w))
+    counts, bands = np.concatenate(counts), np.concatenate(bands, 1)
     single = np.zeros(bands.shape, bool)
     for row, keys in zip(single, bands):
         row[np.unique(keys, return_index=True)[1]] = True
     own = (single | (bands == 0)).all(0) & (counts > 0)
-    hashes = np.concatenate([f for f, _, _ in parts], 1)[:, np.repeat(own, counts)]
-    del parts
+    hashes = np.concatenate([_features(words.split(column.slice(x, y - x)))[:, np.repeat(own[x:y], counts[x:y])] for x, y in spans], 1)
     counts, toxic = counts[own], toxic[own]
     marked = telling(hashes, counts, toxic)
     if not len(marked):
@@ -303,7 +309,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[list[str | No
         return [], np.zeros(0, bool)
     spark = docs.sparkSession
     chosen = F.broadcast(spark.createDataFrame([(r.id, r.toxic) for r in ids], T.StructType([T.StructField("id", docs.schema["doc_id"].dataType), T.StructField("toxic", T.BooleanType())])))
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(chosen, "id").select("id", "text", "toxic").toLocalIterator()
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(chosen, "id").select("id", "text", "toxic").collect()
     found = {(r.id, r.text): r.toxic for r in texts}
     keys = sorted(found, key=lambda k: (k[0], k[1] is None, k[1] or ""))
     return [k[1] for k in keys], np.array([found[k] for k in keys], bool)
@@ -319,13 +325,13 @@ def _tagged(docs: DataFrame, labels: DataFrame, score: str, spans: str, threshol
     return plain.mapInArrow(_tagger(shared, str(docs.columns.index("text")), threshold), out).toDF(*docs.columns, score, spans)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = 4000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = 3000) -> DataFrame:
     """(doc_id, score, toxic, spans) of every document; spans are character offsets in text with their largest marginal."""
     out = _tagged(docs.select("doc_id", "text"), labels, "score", "spans", threshold, rows)
     return out.select("doc_id", "score", (F.col("score") >= threshold).alias("toxic"), "spans")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = 4000) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = 3000) -> DataFrame:
     """docs without those whose score reaches the threshold."""
     score, spans = fresh(docs, "tw_score", "tw_spans")
     return _tagged(docs, labels, score, spans, threshold, rows).filter(F.col(score) < threshold).drop(score, spans)
