@@ -26,6 +26,10 @@ def jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("title string, content string, url string").json(path)
 
 
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def _tag(text: Column, name: str, group: str = ".*?") -> Column:
     return F.regexp_extract(text, rf"(?is)<{name}>\s*({group})\s*</{name}>", 1)
 
@@ -35,7 +39,7 @@ def trectext(spark: SparkSession, path: str) -> DataFrame:
     text = F.regexp_replace("value", r"(?is)^.*?<DOC>", "")
     content = F.regexp_replace(text, r"(?is)^.*?</DOCNO>\s*", "")
     own = spark.read.text(path, lineSep="</DOC>").filter(F.col("value").rlike("(?is)<DOC>"))
-    return own.select(_tag(text, "DOCNO").alias("title"), F.trim(content).alias("content"), F.lit(None).cast("string").alias("url")).filter("title <> ''")
+    return own.select(_tag(text, "DOCNO").alias("title"), _trimmed(content).alias("content"), F.lit(None).cast("string").alias("url")).filter("title <> ''")
 
 
 def trecweb(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +48,7 @@ def trecweb(spark: SparkSession, path: str) -> DataFrame:
     url = F.regexp_extract(text, r"(?is)<DOCHDR>\s*(\S+)", 1)
     content = F.regexp_replace(text, r"(?is)^.*?</DOCHDR>\s*", "")
     own = spark.read.text(path, lineSep="</DOC>").filter(F.col("value").rlike("(?is)<DOC>.*</DOCHDR>"))
-    return own.select(_tag(text, "DOCNO").alias("title"), F.trim(content).alias("content"), url.alias("url")).filter("title <> '' AND url <> ''")
+    return own.select(_tag(text, "DOCNO").alias("title"), _trimmed(content).alias("content"), url.alias("url")).filter("title <> '' AND url <> ''")
 
 
 def warc_records(data: bytes) -> Iterator[tuple[str, str, str | None]]:
