@@ -82,7 +82,8 @@ def _gain(pairs: np.ndarray, row: np.ndarray, column: np.ndarray, self_: float,
     diagonal = pairs[own, own]
     gain -= _xlogx(diagonal + row[:classes]) - _xlogx(diagonal) + _xlogx(diagonal + column[:classes]) - _xlogx(diagonal)
     gain += _xlogx(diagonal + row[:classes] + column[:classes] + self_) - _xlogx(diagonal)
-    out, into = pairs[:classes].sum(1), pairs[:, :classes].sum(0)
+    # The totals of each class with what its words have before and after this one, wherever that goes.
+    out, into = pairs[:classes].sum(1) + column[:classes], pairs[:, :classes].sum(0) + row[:classes]
     n_out, n_into = row.sum() + self_, column.sum() + self_
     return gain - (_xlogx(out + n_out) - _xlogx(out)) - (_xlogx(into + n_into) - _xlogx(into))
 
