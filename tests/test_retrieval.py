@@ -9,12 +9,12 @@ from trovewise.operators import index as ix
 from trovewise.operators import lookup, queries, reorder, sampling, search, shards
 from trovewise.plans import strategy
 
-WORDS = [[2, 0, 3, 9, 0], [5, 0, 3, 4, 2, 6, 7, 4, 5], [5, 1, 8, 9, 8, 8], [8, 5, 9], [8, 6, 9, 6, 6, 5, 4, 3, 1, 0, 6]]
+WORDS = [[int(c) for c in digits] for digits in ("20390", "503426745", "518988", "859", "86966543106")]
 
 
 @pytest.fixture(scope="module")
 def tiny(spark):
-    return ix.build(spark.createDataFrame([(i, " ".join(map(str, w))) for i, w in enumerate(WORDS)], "doc_id long, text string")) 
+    return ix.build(spark.createDataFrame([(i, " ".join(map(str, w))) for i, w in enumerate(WORDS)], "doc_id long, text string"))
 
 
 @pytest.fixture(scope="module")
