@@ -126,11 +126,16 @@ def telling(hashes: np.ndarray, counts: np.ndarray, toxic: np.ndarray, precision
     for row in hashes:
         known, ids = np.unique(row, return_inverse=True)
         tokens, bad = np.bincount(ids, minlength=len(known)), np.bincount(ids[toxic[doc]], minlength=len(known))
-        pairs = np.unique(ids * np.int64(len(toxic)) + doc)
-        word, of = pairs // len(toxic), pairs % len(toxic)
-        a = np.bincount(word[toxic[of]], minlength=len(known)).astype(float)
-        b = np.bincount(word[~toxic[of]], minlength=len(known)).astype(float)
-        total = a + b
+        pairs = ids * np.int64(len(toxic)) + doc
+        del ids
+        pairs.sort()
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
+        bad_doc = toxic[pairs % len(toxic)]
+        pairs //= len(toxic)
+        total = np.bincount(pairs, minlength=len(known)).astype(float)
+        a = np.bincount(pairs[bad_doc], minlength=len(known)).astype(float)
+        b = total - a
+        del pairs, bad_doc
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(a > 0, a * np.log(a / (total * share)), 0) + np.where(b > 0, b * np.log(b / (total * (1 - share))), 0)
         good = np.flatnonzero((known > 0) & (a >= share * total) & (bad >= precision * tokens))
@@ -174,7 +179,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, tokens: int = 400_000, steps
     The gradient reads about so many tokens of the sample, whole texts of either class in turn; all else reads all of it.
     """
     column = pa.array(texts, pa.large_string())
-    spans = list(words.chunks(column, 1 << 20))
+    spans = list(words.chunks(column, 1 << 19))
     if not spans:
         return None
     counts, bands = [], []
@@ -187,7 +192,11 @@ def fit(texts: list[str | None], toxic: np.ndarray, tokens: int = 400_000, steps
     for row, keys in zip(single, bands):
         row[np.unique(keys, return_index=True)[1]] = True
     own = (single | (bands == 0)).all(0) & (counts > 0)
-    hashes = np.concatenate([_features(words.split(column.slice(x, y - x)))[:, np.repeat(own[x:y], counts[x:y])] for x, y in spans], 1)
+    hashes, at = np.empty((1 + len(PREFIXES), int(counts[own].sum())), np.uint64), 0
+    for x, y in spans:
+        some = _features(words.split(column.slice(x, y - x)))[:, np.repeat(own[x:y], counts[x:y])]
+        hashes[:, at : at + some.shape[1]] = some
+        at += some.shape[1]
     counts, toxic = counts[own], toxic[own]
     marked = telling(hashes, counts, toxic)
     if not len(marked):
@@ -233,10 +242,10 @@ def fit(texts: list[str | None], toxic: np.ndarray, tokens: int = 400_000, steps
     tell = np.flatnonzero(np.abs(weights[:, :-1] - weights[:, -1:]).max(0) > 1e-3)
     model = {"known": known[tell], "weights": np.concatenate([weights[:, tell], weights[:, -1:]], 1), "bias": float(theta[3 * v]), "moves": np.exp(theta[-4:].reshape(2, 2))}
     x = np.empty((2, len(toxic)))
-    for k in range(0, len(toxic), 500):
-        part = counts[k : k + 500]
+    for k in range(0, len(toxic), 100):
+        part = counts[k : k + 100]
         p = _marginals(model, hashes[:, starts[k] : starts[k] + part.sum()], part, _numbers)
-        x[:, k : k + 500] = _evidence(p, part)
+        x[:, k : k + 100] = _evidence(p, part)
     return model | {"score": _calibrated(x, toxic)}
 
 

@@ -33,7 +33,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """base ** (0 .. n-1) modulo 2 ** 64, kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        step = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
+        step = np.full((n // (1 << 19) + 1 << 19) + 1, base, np.uint64)
         step[0] = 1
         have = _powers[base] = np.cumprod(step, dtype=np.uint64)
     return have[:n]
