@@ -138,7 +138,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"stream": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
 
-def _head(counts: DataFrame, folds: Folds, head: int, long_piece: int) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+def _head(counts: DataFrame, folds: Folds, head: int, long_piece: int, kind: type) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
     """The most frequent pieces that occur twice at least, all of a count or none: their hashes in order, they themselves, where their ids begin, and the ids."""
     have = counts.filter((F.col("n") > 1) & (F.octet_length("piece") <= long_piece))
     least, total = 2, 0
@@ -148,18 +148,23 @@ def _head(counts: DataFrame, folds: Folds, head: int, long_piece: int) -> tuple[
             least = row["n"] + 1
             break
     coded = written(have.filter(F.col("n") >= least).select("piece", folds.encode(F.col("piece")).alias("ids")), "head")
-    known, sizes, ids, hashes = [pa.array([], pa.binary())], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+    known, sizes, ids, hashes = [pa.array([], pa.binary())], [np.zeros(0, np.int32)], [np.zeros(0, kind)], [np.zeros(0, np.uint64)]
     for row in coded.mapInArrow(_packed, "stream binary").toLocalIterator():
         table = pa.ipc.open_stream(row.stream).read_all()
         lists = table["ids"].combine_chunks()
         known.append(table["piece"].combine_chunks())
         hashes.append(words.hash_each(known[-1]))
-        sizes.append(np.diff(np.asarray(lists.offsets)))
-        ids.append(lists.flatten().to_numpy())
-    order = np.argsort(np.concatenate(hashes), kind="stable")
-    size = np.concatenate(sizes)
-    ids = gather(np.concatenate(ids), (np.cumsum(size) - size)[order], size[order])
-    return np.concatenate(hashes)[order], pa.concat_arrays(known).take(pa.array(order)), np.concatenate([[0], np.cumsum(size[order])]).astype(np.int32), ids
+        sizes.append(np.diff(np.asarray(lists.offsets)).astype(np.int32))
+        ids.append(lists.flatten().to_numpy().astype(kind))
+    own, size, flat = np.concatenate(hashes), np.concatenate(sizes), np.concatenate(ids)
+    ids.clear(), sizes.clear(), hashes.clear()
+    order = np.argsort(own, kind="stable")
+    starts, out, at = np.cumsum(size) - size, np.empty_like(flat), 0
+    for k in range(0, len(order), 1 << 16):
+        some = gather(flat, starts[order[k : k + (1 << 16)]], size[order[k : k + (1 << 16)]])
+        out[at : at + len(some)] = some
+        at += len(some)
+    return own[order], pa.concat_arrays(known).take(pa.array(order)), np.concatenate([[0], np.cumsum(size[order])]).astype(np.int32), out
 
 
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -181,7 +186,7 @@ def _looked_up(shared, place: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known, starts, values = shared.value
-        sizes = np.diff(starts)
+        sizes, values = np.diff(starts), values if len(values) else np.zeros(1, np.int32)
         for batch in batches:
             for a, b in words.chunks(batch.column(place)):
                 part = batch.slice(a, b - a)
@@ -196,8 +201,9 @@ def _looked_up(shared, place: str):
                 of = keys // (len(own) + 1)
                 first = np.searchsorted(of, np.arange(b - a + 1))
                 size = np.where(at < 0, 1, sizes[at] if len(sizes) else 1)
-                begin = np.where(at < 0, len(values) + np.cumsum(at < 0) - 1, starts[:-1][at] if len(sizes) else 0)
-                flat = gather(np.concatenate([values, (first[text[rare]] - place_in - 1).astype(np.int32)]), begin, size)
+                begin = np.where(at < 0, 0, starts[:-1][at] if len(sizes) else 0)
+                flat = gather(values, begin, size).astype(np.int32)
+                flat[np.cumsum(size)[rare] - 1] = first[text[rare]] - place_in - 1
                 ends = np.concatenate([[0], np.cumsum(size)])[p.offsets].astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 if texts.null_count:
@@ -213,8 +219,10 @@ def encode(docs: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY, head
     ranks = read_ranks(vocabulary)
     folds = Folds(ranks)
     counts = written(piece_counts(docs), "pieces")
-    table = _head(counts, folds, head, long_piece)
+    table = _head(counts, folds, head, long_piece, np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.int32)
     shared = docs.sparkSession.sparkContext.broadcast(table)
+    del table
+    pa.default_memory_pool().release_unused()
     names = docs.columns
     plain = docs.toDF(*[str(k) for k in range(len(names))])
     schema = T.StructType([T.StructField(str(k), f.dataType) for k, f in enumerate(docs.schema)] + [T.StructField(str(len(names)), T.ArrayType(T.IntegerType())), T.StructField(str(len(names) + 1), T.ArrayType(T.BinaryType()))])
