@@ -61,9 +61,11 @@ def lexicon(forward: DataFrame) -> DataFrame:
     return dense_ids(forward.select(F.explode("terms").alias("term")).distinct(), ["term"], "term_id")
 
 
-def invert(forward: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, doc_len)."""
+def invert(forward: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(term, doc_id, tf, doc_len), of the terms in only if given: others are dropped before anything is shuffled."""
     tokens = forward.select("doc_id", F.size("terms").cast("bigint").alias("doc_len"), F.explode("terms").alias("term"))
+    if only is not None:
+        tokens = tokens.join(only.select("term").distinct(), "term", "left_semi")
     return tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
 
 
@@ -86,9 +88,10 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def build(docs: DataFrame, analyzer: Analyzer = Analyzer(), doc_id: str = "doc_id", text: str = "text") -> Index:
+def build(docs: DataFrame, analyzer: Analyzer = Analyzer(), doc_id: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> Index:
+    """The index of a collection; with only (term), of no other terms, which is all that queries of those terms need."""
     forward = forward_index(docs, analyzer, doc_id, text)
-    sizes, postings = doc_sizes(forward), invert(forward)
+    sizes, postings = doc_sizes(forward), invert(forward, only)
     return Index(postings, sizes, term_stats(postings), collection_stats(sizes))
 
 

@@ -50,6 +50,10 @@ def _index(spark: SparkSession, sf_dir: str) -> ix.Index:
     return ix.build(_docs(spark, sf_dir))
 
 
+def _index_for_topics(spark: SparkSession, sf_dir: str) -> ix.Index:
+    return ix.build(_docs(spark, sf_dir), only=_parsed(spark, sf_dir))
+
+
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries.parse(_table(spark, sf_dir, "benchmark"), query="text", qid="item_id")
 
@@ -59,8 +63,8 @@ def _topics(spark: SparkSession, sf_dir: str, index: ix.Index, policy: str = "un
 
 
 def _scored(spark: SparkSession, sf_dir: str, scorer: str = "bm25", policy: str = "unweighted") -> tuple[DataFrame, DataFrame]:
-    """(queries, scored postings): lists that no query names are dropped before scoring."""
-    index = _index(spark, sf_dir)
+    """(queries, scored postings of their terms)."""
+    index = _index_for_topics(spark, sf_dir)
     topics = _topics(spark, sf_dir, index, policy)
     return topics, ix.scored(index, scorer)
 
@@ -250,7 +254,7 @@ def quantize_scores(spark, sf_dir):
 
 @registered(f"WITH {BASE} {TOPICS} x AS (SELECT 1) SELECT qid, pos::BIGINT AS pos, term FROM q1 SEMI JOIN terms USING (term)")
 def parse_queries(spark, sf_dir):
-    return queries.known(_parsed(spark, sf_dir), _index(spark, sf_dir)).select("qid", F.col("pos").cast("bigint").alias("pos"), "term")
+    return queries.known(_parsed(spark, sf_dir), _index_for_topics(spark, sf_dir)).select("qid", F.col("pos").cast("bigint").alias("pos"), "term")
 
 
 @registered(f"WITH {BASE} {TOPICS} x AS (SELECT 1) SELECT qid, pos, term, weight FROM qw")
@@ -260,7 +264,7 @@ def query_weights(spark, sf_dir):
 
 @registered(f"WITH {BASE} {TOPICS} x AS (SELECT 1) SELECT qid, pos, term, weight FROM q WHERE qid IN (SELECT qid FROM q GROUP BY qid HAVING count(*) BETWEEN 10 AND 25)")
 def filter_queries(spark, sf_dir):
-    return queries.of_size(_topics(spark, sf_dir, _index(spark, sf_dir), "count"), 10, 25)
+    return queries.of_size(_topics(spark, sf_dir, _index_for_topics(spark, sf_dir), "count"), 10, 25)
 
 
 @registered(f"WITH {BASE} {TOPICS} lex AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM terms) SELECT qid, qid || ':' || string_agg(term_id::VARCHAR, chr(9) ORDER BY pos) AS ids FROM q1 JOIN lex USING (term) GROUP BY qid")
@@ -275,19 +279,19 @@ def stem_queries(spark, sf_dir):
 
 @registered(f"WITH {_hits()} SELECT qid, count(*) FILTER (n = n_terms) AS n_and, count(*) AS n_or FROM res JOIN nq USING (qid) GROUP BY qid HAVING count(*) FILTER (n = n_terms) < 0.005 * count(*)")
 def selective_queries(spark, sf_dir):
-    index = _index(spark, sf_dir)
+    index = _index_for_topics(spark, sf_dir)
     return queries.selective(_topics(spark, sf_dir, index), index)
 
 
 @registered(f"WITH {BASE} {TOPICS} x AS (SELECT 1) SELECT qid, pos, term, df FROM q JOIN terms USING (term)")
 def count_postings(spark, sf_dir):
-    index = _index(spark, sf_dir)
+    index = _index_for_topics(spark, sf_dir)
     return queries.posting_counts(_topics(spark, sf_dir, index), index)
 
 
 @registered(f"WITH {BASE} {TOPICS} x AS (SELECT 1) SELECT qid, sum(df)::BIGINT AS postings FROM q JOIN terms USING (term) GROUP BY qid")
 def count_postings_sum(spark, sf_dir):
-    index = _index(spark, sf_dir)
+    index = _index_for_topics(spark, sf_dir)
     return queries.posting_counts(_topics(spark, sf_dir, index), index, total=True)
 
 
@@ -304,7 +308,7 @@ _AND = "SELECT res.* FROM res JOIN nq USING (qid) WHERE n = n_terms"
 
 @registered(f"WITH {_hits()} SELECT qid, doc_id FROM ({_AND})")
 def and_query(spark, sf_dir):
-    index = _index(spark, sf_dir)
+    index = _index_for_topics(spark, sf_dir)
     return search.boolean_and(_topics(spark, sf_dir, index), index.postings)
 
 
@@ -350,7 +354,8 @@ def weighted_bm25(spark, sf_dir):
 
 @registered(f"""WITH {_hits()}, v AS (SELECT qid, doc_id, sum(floor(round(score / (SELECT max(score) FROM sc) * 254, 9)) + 1) AS score FROM hit GROUP BY ALL) {_top('v')}""")
 def ranked_or_quantized(spark, sf_dir):
-    topics, postings = _scored(spark, sf_dir)
+    index = _index(spark, sf_dir)
+    topics, postings = _topics(spark, sf_dir, index), ix.scored(index)
     most = postings.agg(F.max("score").alias("most"))
     stored = postings.crossJoin(F.broadcast(most)).withColumn("score", (F.floor(F.round(F.col("score") / F.col("most") * 254, 9)) + 1).cast("double"))
     return _shown(search.ranked_or(topics, stored, K))
@@ -470,7 +475,7 @@ def sample_emptied_terms(spark, sf_dir):
 
 @registered()
 def taily_scores(spark, sf_dir):
-    index = _index(spark, sf_dir)
+    index = _index_for_topics(spark, sf_dir)
     postings, parts = ix.scored(index), shards.at_random(_docs(spark, sf_dir), 4)
     sizes = parts.groupBy("shard_id").agg(F.count("*").alias("n_docs"))
     return shards.scores(_topics(spark, sf_dir, index), ix.term_features(postings), index.stats, shards.features(postings, parts), sizes, K)
@@ -478,7 +483,7 @@ def taily_scores(spark, sf_dir):
 
 @registered()
 def taily_thresholds(spark, sf_dir):
-    index = _index(spark, sf_dir)
+    index = _index_for_topics(spark, sf_dir)
     return shards.thresholds(_topics(spark, sf_dir, index), ix.term_features(ix.scored(index)), index.stats, K)
 
 
