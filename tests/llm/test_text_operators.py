@@ -8,7 +8,6 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from trovewise.llm import brown, chat, quality, url_filter, words
 
