@@ -21,7 +21,7 @@ none. Repeated rows are treated alike. Other columns pass through or are not rea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -103,17 +103,21 @@ def _neighbours(ids: np.ndarray, offsets: np.ndarray, none: int) -> tuple[np.nda
     return before, after
 
 
-def _features(w: words.Words) -> np.ndarray:
-    """A row of hashes for the words and one for each length of prefix; 0 where a word is no longer than the prefix."""
-    out = np.empty((1 + len(PREFIXES), len(w.starts)), np.uint64)
-    out[0] = w.hashes
-    for row, k in enumerate(PREFIXES, 1):
-        longer = w.ends - w.starts > k
-        out[row] = np.where(longer, words.mix(w.spans(w.starts, np.where(longer, w.starts + k, w.ends)) + np.uint64(k)), np.uint64(0))
+def _features(w: words.Words, kinds: list[int] | None = None) -> np.ndarray:
+    """A row of hashes for the words (kind 0) and one for each length of prefix; 0 where a word is no longer than the prefix."""
+    kinds = list(range(1 + len(PREFIXES))) if kinds is None else kinds
+    out = np.empty((len(kinds), len(w.starts)), np.uint64)
+    for row, kind in enumerate(kinds):
+        if kind == 0:
+            out[row] = w.hashes
+            continue
+        size = PREFIXES[kind - 1]
+        longer = w.ends - w.starts > size
+        out[row] = np.where(longer, words.mix(w.spans(w.starts, np.where(longer, w.starts + size, w.ends)) + np.uint64(size)), np.uint64(0))
     return out
 
 
-def telling(hashes: np.ndarray, counts: np.ndarray, toxic: np.ndarray, precision: float = 0.7, chance: float = 0.01) -> np.ndarray:
+def telling(hashes: Iterable[np.ndarray], counts: np.ndarray, toxic: np.ndarray, precision: float = 0.7, chance: float = 0.01) -> np.ndarray:
     """The features (hashes, by rows of _features) that tell toxic documents from others.
 
     By documents they are more often in toxic ones than chance allows, by tokens at least `precision` of them are.
@@ -192,15 +196,8 @@ def fit(texts: list[str | None], toxic: np.ndarray, tokens: int = 400_000, steps
     for row, keys in zip(single, bands):
         row[np.unique(keys, return_index=True)[1]] = True
     own = (single | (bands == 0)).all(0) & (counts > 0)
-    hashes, at = np.empty((1 + len(PREFIXES), int(counts[own].sum())), np.uint64), 0
-    for x, y in spans:
-        some = _features(words.split(column.slice(x, y - x)))[:, np.repeat(own[x:y], counts[x:y])]
-        hashes[:, at : at + some.shape[1]] = some
-        at += some.shape[1]
+    every = counts
     counts, toxic = counts[own], toxic[own]
-    marked = telling(hashes, counts, toxic)
-    if not len(marked):
-        return None
     starts = np.cumsum(counts) - counts
     turn = np.empty(len(toxic))
     for k in (True, False):
@@ -209,7 +206,18 @@ def fit(texts: list[str | None], toxic: np.ndarray, tokens: int = 400_000, steps
     order = order[np.cumsum(counts[order]) <= max(tokens, counts[order[:2]].sum())]
     some = counts[order]
     at = np.arange(some.sum()) + np.repeat(starts[order] - (np.cumsum(some) - some), some)
-    h, offsets = hashes[:, at], np.concatenate([[0], np.cumsum(some)])
+    h, offsets = np.empty((1 + len(PREFIXES), len(at)), np.uint64), np.concatenate([[0], np.cumsum(some)])
+
+    def rows() -> Iterator[np.ndarray]:
+        """The features of the whole sample, one kind in memory at a time."""
+        for kind in range(len(h)):
+            row = np.concatenate([_features(words.split(column.slice(x, y - x)), [kind])[0][np.repeat(own[x:y], every[x:y])] for x, y in spans])
+            h[kind] = row[at]
+            yield row
+
+    marked = telling(rows(), counts, toxic)
+    if not len(marked):
+        return None
     known, n = np.unique(h, return_counts=True)
     known = np.union1d(known[(n > 1) & (known > 0)], marked)
     v = len(known) + 1
@@ -241,12 +249,12 @@ def fit(texts: list[str | None], toxic: np.ndarray, tokens: int = 400_000, steps
     # Features whose weights differ from the unknown one's by next to nothing are unknown.
     tell = np.flatnonzero(np.abs(weights[:, :-1] - weights[:, -1:]).max(0) > 1e-3)
     model = {"known": known[tell], "weights": np.concatenate([weights[:, tell], weights[:, -1:]], 1), "bias": float(theta[3 * v]), "moves": np.exp(theta[-4:].reshape(2, 2))}
-    x = np.empty((2, len(toxic)))
-    for k in range(0, len(toxic), 100):
-        part = counts[k : k + 100]
-        p = _marginals(model, hashes[:, starts[k] : starts[k] + part.sum()], part, _numbers)
-        x[:, k : k + 100] = _evidence(p, part)
-    return model | {"score": _calibrated(x, toxic)}
+    evidence = []
+    for x, y in spans:
+        kept = np.repeat(own[x:y], every[x:y])
+        part = every[x:y][own[x:y]]
+        evidence.append(_evidence(_marginals(model, _features(words.split(column.slice(x, y - x)))[:, kept], part, _numbers), part))
+    return model | {"score": _calibrated(np.concatenate(evidence, 1), toxic)}
 
 
 def _numbers(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
