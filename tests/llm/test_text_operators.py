@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -97,6 +98,55 @@ def test_exchange_separates_two_kinds_of_words(spark):
     assert len({of[words.word_hash(x)] for x in nouns}) == len({of[words.word_hash(x)] for x in verbs}) == 1
 
 
+def test_gains_are_those_of_one_word_at_a_time():
+    rng = np.random.default_rng(2)
+    pairs = rng.integers(0, 30, (7, 7)).astype(float)
+    row, column = rng.integers(0, 3, (2, 40, 7)).astype(float)
+    row[:, 5] += 1
+    column[:, 6] += 1
+    got = brown._gains(pairs, row, column, 5)
+    assert np.allclose(got, [brown._gain(pairs, r, c, 0.0, 5) for r, c in zip(row, column)])
+
+
+def test_perplexity_keeps_words_beyond_the_head(spark):
+    rng = random.Random(11)
+    kinds = [f"{c}{i}" for c in "xyz" for i in range(40)]
+    texts = [" ".join(k for _ in range(rng.randint(0, 30)) for k in rng.choices(kinds, weights=[1 / (i % 40 + 1) for i in range(120)])) for _ in range(60)]
+    texts[7], texts[8] = None, "once twice twice"
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(3)
+    plain = [(t or "").split() for t in texts]
+    count = Counter(w for t in plain for w in t)
+    top = sorted(count, key=lambda w: (-count[w], np.uint64(words.word_hash(w)).view(np.int64)))[:20]
+    number = {w: i for i, w in enumerate(top)}
+    streams = [[21, *[number.get(w, 20) for w in t], 21] for t in plain]
+    pairs = Counter(p for s in streams for p in zip(s, s[1:]))
+    left, right, n = (np.array(x) for x in zip(*[(a, b, v) for (a, b), v in sorted(pairs.items())]))
+    of = brown.exchange(left, right, n, 20, 4, 8)
+    matrix = np.zeros((6, 6))
+    np.add.at(matrix, (of[left], of[right]), n)
+    own = {w: of[i] for w, i in number.items()}
+    for w in set(count) - set(top):
+        row, column = np.zeros(6), np.zeros(6)
+        for t, s in zip(plain, streams):
+            for i, x in enumerate(t):
+                if x == w:
+                    column[of[s[i]]] += 1
+                    row[of[s[i + 2]]] += 1
+        own[w] = int(np.argmax(brown._gain(matrix, row, column, 0.0, 4)))
+    chains = [[4, *[own[w] for w in t], 4] for t in plain]
+    moves = Counter(p for c in chains for p in zip(c, c[1:]))
+    total, size = Counter(), Counter()
+    for (a, b), v in moves.items():
+        total[a] += v
+        size[b] += v
+    got = {r.doc_id: r for r in brown.perplexity(docs, classes=4, head=20).collect()}
+    assert len(got) == 60 and got["d7"].perplexity is None and got["d7"].n_words == 0
+    for i, (t, c) in enumerate(zip(plain, chains)):
+        want = sum(math.log((moves[p] + 0.1) / (total[p[0]] + 0.5)) for p in zip(c, c[1:])) + sum(math.log(count[w] / size[own[w]]) for w in t)
+        assert got[f"d{i}"].log_prob == pytest.approx(want) and got[f"d{i}"].n_words == len(t)
+        assert not t or got[f"d{i}"].perplexity == pytest.approx(math.exp(-want / (len(t) + 1)))
+
+
 def test_perplexity_of_nothing(spark):
     assert brown.perplexity(spark.createDataFrame([], DOCS)).isEmpty()
     assert brown.perplexity(spark.createDataFrame([(1, None, "x", "k", 0)], DOCS)).count() == 1
