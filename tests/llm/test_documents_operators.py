@@ -229,6 +229,15 @@ def test_toxicity_on_held_out_documents(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.toxic}
 
 
+def test_toxicity_gradient_reads_the_whole_sample(spark):
+    texts, labels, bad = toxic_corpus(spark)
+    first = next(i for i, y in enumerate(labels) if y)
+    texts[first] = " ".join([texts[first], *(f"word{i % 300}" for i in range(3000))])
+    whole, parts = (toxicity.fit(texts, np.array(labels, bool), tokens=n) for n in (10**9, 500))
+    assert np.allclose(parts["moves"], whole["moves"], rtol=1e-3) and np.allclose(parts["bias"], whole["bias"], rtol=1e-3)
+    assert len(np.intersect1d(parts["known"], whole["known"])) >= 0.99 * max(len(parts["known"]), len(whole["known"]))
+
+
 def test_toxicity_edges(spark):
     texts, labels, _ = toxic_corpus(spark, 300)
     docs = docs_of(spark, [*texts, None, "", "...", LONG], [*range(300), None, 301, 302, 303])

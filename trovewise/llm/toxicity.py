@@ -6,7 +6,7 @@ count once), and of which at least `precision` stand in such documents, are toxi
 not. The field has two states and, as features, the word, its beginnings, the word before and the one after, and the
 transition; it is fitted by gradient ascent.
 
-Fitting reads a sample of `rows` labelled documents (least hashes of their ids), which bounds what reaches the driver;
+Fitting reads all of a sample of `rows` labelled documents (least hashes of their ids), which bounds what reaches the driver;
 the field itself runs over every word of every text, in one narrow pass. Forward and backward messages are computed
 for all texts of a batch at once, by segments whose transfer matrices are chained.
 
@@ -177,10 +177,22 @@ def _calibrated(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return c
 
 
+def _parts(counts: np.ndarray, tokens: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most so many tokens each, one text at least."""
+    start, total = 0, 0
+    for i, n in enumerate(counts):
+        if i > start and total + n > tokens:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(counts):
+        yield start, len(counts)
+
+
 def fit(texts: list[str | None], toxic: np.ndarray, tokens: int = 400_000, steps: int = 60, rate: float = 0.3, decay: float = 1e-3) -> dict | None:
     """The field's weights, or None if nothing tells toxic documents.
 
-    The gradient reads about so many tokens of the sample, whole texts of either class in turn; all else reads all of it.
+    The gradient is summed over the whole sample, in parts of about so many tokens, whole texts each.
     """
     column = pa.array(texts, pa.large_string())
     spans = list(words.chunks(column, 1 << 19))
@@ -198,50 +210,59 @@ def fit(texts: list[str | None], toxic: np.ndarray, tokens: int = 400_000, steps
     own = (single | (bands == 0)).all(0) & (counts > 0)
     every = counts
     counts, toxic = counts[own], toxic[own]
-    starts = np.cumsum(counts) - counts
-    turn = np.empty(len(toxic))
-    for k in (True, False):
-        turn[toxic == k] = np.arange((toxic == k).sum())
-    order = np.argsort(turn, kind="stable")
-    order = order[np.cumsum(counts[order]) <= max(tokens, counts[order[:2]].sum())]
-    some = counts[order]
-    at = np.arange(some.sum()) + np.repeat(starts[order] - (np.cumsum(some) - some), some)
-    h, offsets = np.empty((1 + len(PREFIXES), len(at)), np.uint64), np.concatenate([[0], np.cumsum(some)])
+    often = []
+
+    def row_of(kind: int) -> np.ndarray:
+        return np.concatenate([_features(words.split(column.slice(x, y - x)), [kind])[0][np.repeat(own[x:y], every[x:y])] for x, y in spans])
 
     def rows() -> Iterator[np.ndarray]:
         """The features of the whole sample, one kind in memory at a time."""
-        for kind in range(len(h)):
-            row = np.concatenate([_features(words.split(column.slice(x, y - x)), [kind])[0][np.repeat(own[x:y], every[x:y])] for x, y in spans])
-            h[kind] = row[at]
+        for kind in range(1 + len(PREFIXES)):
+            row = row_of(kind)
+            known, n = np.unique(row, return_counts=True)
+            often.append(known[(n > 1) & (known > 0)])
+            del known, n
             yield row
 
     marked = telling(rows(), counts, toxic)
     if not len(marked):
         return None
-    known, n = np.unique(h, return_counts=True)
-    known = np.union1d(known[(n > 1) & (known > 0)], marked)
+    known = np.unique(np.concatenate([*often, marked]))
     v = len(known) + 1
-    ids = np.stack([_numbers(known, x) for x in h])
-    before, after = _neighbours(ids[0], offsets, len(known))
-    tag = (np.isin(h, marked).any(0) & np.repeat(toxic[order], some)).astype(float)
-    tag_before = np.concatenate([[0], tag[:-1]])
-    tag_before[offsets[:-1]] = 0
-    lay, size = Layout(some), 3 * v + 5
+    ids, tags = np.empty((1 + len(PREFIXES), counts.sum()), np.int32), np.zeros(counts.sum(), bool)
+    for kind in range(len(ids)):
+        row = row_of(kind)
+        ids[kind] = _numbers(known, row)
+        tags |= np.isin(row, marked)
+    del row
+    tags &= np.repeat(toxic, counts)
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    parts, seen = [], np.zeros((2, 2))
+    for x, y in _parts(counts, tokens):
+        part, tag, offsets = ids[:, ends[x] : ends[y]], tags[ends[x] : ends[y]], ends[x : y + 1] - ends[x]
+        tag_before = np.concatenate([[False], tag[:-1]])
+        tag_before[offsets[:-1]] = False
+        seen += [[((tag_before == i) & (tag == j)).sum() for j in (0, 1)] for i in (0, 1)]
+        before, after = (k.astype(np.int32) for k in _neighbours(part[0], offsets, len(known)))
+        parts.append(([*((0, k) for k in part), (1, before), (2, after)], tag, Layout(counts[x:y])))
+    size = 3 * v + 5
     theta, first, second = np.zeros(size), np.zeros(size), np.zeros(size)
-    features = [*ids, before + v, after + 2 * v]
-    seen = np.array([[((tag_before == i) & (tag == j)).sum() for j in (0, 1)] for i in (0, 1)])
     for step in range(1, steps + 1):
-        e = np.exp(np.clip(sum(theta[f] for f in features) + theta[3 * v], -30, 30))
         a = np.exp(theta[-4:].reshape(2, 2))
-        p, f, b = messages(lay, e, a)
-        joint = [[(f if i else 1 - f) * a[i, j] * (e * b if j else 1 - b) for j in (0, 1)] for i in (0, 1)]
-        z = joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1]
-        off = tag - p
+        weights = theta[: 3 * v].reshape(3, v)
         grad = -decay * theta
-        for x in features:
-            grad[: 3 * v] += np.bincount(x, off, 3 * v)
-        grad[3 * v] += off.sum()
-        grad[-4:] += (seen - np.array([[(joint[i][j] / z).sum() for j in (0, 1)] for i in (0, 1)])).ravel()
+        to = grad[: 3 * v].reshape(3, v)
+        grad[-4:] += seen.ravel()
+        for features, tag, lay in parts:
+            e = np.exp(np.clip(sum(weights[k][x] for k, x in features) + theta[3 * v], -30, 30))
+            p, f, b = messages(lay, e, a)
+            joint = [[(f if i else 1 - f) * a[i, j] * (e * b if j else 1 - b) for j in (0, 1)] for i in (0, 1)]
+            z = joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1]
+            off = tag - p
+            for k, x in features:
+                to[k] += np.bincount(x, off, v)
+            grad[3 * v] += off.sum()
+            grad[-4:] -= [(joint[i][j] / z).sum() for i in (0, 1) for j in (0, 1)]
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad * grad
         theta += rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
