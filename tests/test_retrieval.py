@@ -150,6 +150,15 @@ def test_reordering(made):
     assert {(r.qid, r["rank"]): round(r.score, 6) for r in search.ranked_or(topics, ix.scored(after)).collect()} == before
 
 
+def test_variable_blocks_query_covers_every_posting(spark, tmp_path):
+    from trovewise.plans.queries import QUERIES
+
+    spark.createDataFrame([(i, t) for i, t in enumerate(["asked other", "other rest", "rest rest lone"])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "asked")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    covered = QUERIES["block_max_variable"](spark, str(tmp_path)).groupBy("term").agg(F.sum("n").alias("n")).collect()
+    assert {r.term: r.n for r in covered} == {"asked": 1, "other": 2, "rest": 2, "lone": 1}
+
+
 @pytest.mark.parametrize("leaf", [1000, 8])
 def test_bisection_orders_clusters(spark, leaf):
     rng = random.Random(1)

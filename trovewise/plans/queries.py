@@ -231,8 +231,7 @@ def block_max_fixed(spark, sf_dir):
 
 @registered()
 def block_max_variable(spark, sf_dir):
-    topics, postings = _scored(spark, sf_dir)
-    return ix.variable_blocks(postings.join(topics.select("term").distinct(), "term", "left_semi"))
+    return ix.variable_blocks(ix.scored(_index(spark, sf_dir)))
 
 
 @registered(f"WITH {_hits()} SELECT term, doc_id // 128 AS range_id, round(max(score), 6) AS max_score FROM sc GROUP BY ALL")
