@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size", "keep")
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size", "links", "keep")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,19 +8,22 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[str] = []
+_written: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests, local mode) is one made and set.
+    Only where the session names none and is local (tests) is one made and set; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     made = spark.sparkContext.getCheckpointDir()
     if not made:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trovewise-"))
         made = spark.sparkContext.getCheckpointDir()
     return made
@@ -31,17 +34,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/trovewise/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.add(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_path = path
+    return back
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete the tables that written() made in this process; results that still read them become unusable."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        _written.discard(name)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of written() of which nothing that is still to run reads any more."""
+    _delete(tables[0].sparkSession, [t.written_path for t in tables])
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that written() made in this process; results that still read them become unusable."""
+    _delete(spark, list(_written))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
