@@ -77,6 +77,27 @@ def test_near_duplicates_against_all_pairs(spark, leaf):
     assert all(want[i] == want[got[i]] for i in range(len(texts)))
 
 
+def test_near_duplicates_of_large_groups(spark, monkeypatch):
+    """Work on a group of near copies grows as the group: with twice as many documents about twice as many rows are compared."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+    texts = [" ".join([*base[:k], f"x{i}", *base[k + 1 :]]) for i in range(1600) for k in [rng.randrange(60)]]
+    rows, plain = [], near_dedup.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name in ("entries", "compared", "contracted"):
+            rows[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    for n in (800, 1600):
+        rows.append(0)
+        got = near_dedup.near_duplicates(docs_of(spark, texts[:n]), leaf=50, block=20).collect()
+        assert {(r.group_id, r.group_size) for r in got} == {(0, n)} and all(r.links for r in got)
+    assert rows[1] < 2.5 * rows[0]
+
+
 def test_near_duplicates_edges(spark):
     texts = ["a b c d", "a b c d", None, "", "!!", "a b c d", LONG, LONG + "x", "one", "one"]
     docs = docs_of(spark, texts, [3, 2, 1, 4, 5, None, 6, 7, 8, 8])
@@ -86,8 +107,10 @@ def test_near_duplicates_edges(spark):
         by.setdefault(r.group_id, []).append((r.doc_id, r.keep))
     assert sorted(by[2], key=str) == [(2, True), (3, False), (None, False)]
     assert all(by[k] == [(k, True)] for k in (1, 4, 5, 8)) and sorted(by[6]) == [(6, True), (7, False)]
-    kept = near_dedup.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 5, 6, 8]
+    clash = docs.withColumn("tw_drop", F.lit(1)).withColumn("TW_GONE", F.lit(True))
+    for few in (1_000_000, 0):
+        kept = near_dedup.drop_near_duplicates(clash, broadcast_rows=few)
+        assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 5, 6, 8]
     assert near_dedup.near_duplicates(docs.limit(0)).isEmpty()
 
 
@@ -107,19 +130,26 @@ def lines_by_hand(rows):
     return out
 
 
-@pytest.mark.parametrize("bits", [16, 1])
-def test_line_dedup_against_hand(spark, bits):
+@pytest.mark.parametrize("bits,sent", [(16, 1 << 26), (1, 1 << 26), (16, 0)])
+def test_line_dedup_against_hand(spark, bits, sent):
     rng = random.Random(bits)
     texts = ["\n".join(rng.choice([" ", "", "\t"]) + rng.choice("abcdefghijklmnop") * rng.randint(0, 30) for _ in range(rng.randint(0, 9))) for _ in range(200)] + [None, "", "\n", LONG + "\n" + LONG]
     want = lines_by_hand(list(enumerate(texts)))
-    how = {"bits": bits, "max_bits": 1 << 10 if bits == 1 else 1 << 31}
+    how = {"bits": bits, "max_bits": 1 << 10 if bits == 1 else 1 << 31, "broadcast_bytes": sent}
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.deduplicate_lines(docs_of(spark, texts), **how).collect()}
     assert got == want
-    kept = line_dedup.drop_repeated_lines(docs_of(spark, texts))
+    kept = line_dedup.drop_repeated_lines(docs_of(spark, texts), **how)
     assert {r.doc_id: r.text for r in kept.collect()} == {i: t for i, (t, n, gone) in want.items() if not gone or t.strip()}
     assert all(r.n_chars == len(r.text or "") for r in kept.collect()) and kept.columns[-1] == "n_chars"
 
 
+@pytest.mark.parametrize("sent", [1 << 26, 0])
+def test_line_dedup_keeps_clashing_columns(spark, sent):
+    docs = spark.createDataFrame([(1, "a\nb", "k", 5, True), (2, "a", "l", 6, False)], "doc_id long, text string, tw_key string, tw_uid int, TW_gone boolean")
+    kept = line_dedup.drop_repeated_lines(docs, broadcast_bytes=sent)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "a\nb", "k", 5, True)]
+
+
 def test_line_dedup_edges(spark):
     docs = docs_of(spark, ["a", "a", "b", "b"], [None, 1, 2, 2])
     assert sorted(((r.doc_id, r.text) for r in line_dedup.deduplicate_lines(docs).collect()), key=str) == [(1, ""), (2, "b"), (2, "b"), (None, "a")]
@@ -270,7 +300,7 @@ def test_bpe_over_documents(documents, coder):
 
 
 def test_decoding_skips_unknown_ids(spark):
-    folds = bpe.Folds(bpe.read_ranks())
+    folds = bpe.Folds()
     row = spark.createDataFrame([([31373, -1, 10**6, None, 995],)], "ids array<int>").select(folds.decode(F.col("ids")).alias("t")).first()
     assert bytes(row.t) == b"hello world"
 

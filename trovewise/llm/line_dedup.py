@@ -1,12 +1,12 @@
 """Line deduplication with two Bloom filters, of line hashes seen once and seen twice.
 
 Every task fills the two filters over its documents; they are merged block by block, a bit that two tasks saw once
-becoming twice-seen. Only lines that the twice-seen filter suspects are shuffled, with their text, to confirm the
-repeat exactly and to choose the first occurrence: least doc_id (null first), then row, then line. All other
-occurrences are removed. A filter that is too full only suspects more lines; the result is exact at any size.
+becoming twice-seen. Only lines that the twice-seen filter suspects are shuffled, by their SHA-256, which stands for
+the text, to confirm the repeat and to choose the first occurrence: least doc_id (null first), then row, then line. All
+other occurrences are removed. A filter that is too full only suspects more lines; the result is the same at any size.
 
 The filter has `bits` bits a line, up to `max_bits`, which bounds what is broadcast (256 MB by default). Beyond that
-many lines, more of them are suspected and shuffled.
+many lines, more of them are suspected, at worst all: then 32 bytes and three numbers of each line move.
 
 Defined cases: a line is what newlines separate, compared without spaces, tabs and carriage returns at its ends;
 blank lines are never repeats. A null text stays null, an empty one empty; a text of which every line goes becomes
@@ -15,17 +15,20 @@ empty. Rows equal in doc_id and text are one document, and each of them gets its
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words
-from .shared import fresh, row_key, written
+from .shared import fresh, release, row_key, written
 
-HASHES, BLOCK_BYTES = 4, 1 << 13
+HASHES, BLOCK_BYTES, BROADCAST_BYTES = 4, 1 << 13, 1 << 26
 
 
 def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,6 +111,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suspects(shared):
+    """The lines that the twice-seen filter suspects, each by the SHA-256 of its bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = shared.value
         for batch in batches:
@@ -116,15 +121,32 @@ def _suspects(shared):
                 part = texts.slice(a, b - a)
                 text, number, starts, ends, hashes = _lines(part)
                 at = np.flatnonzero(_within(twice, _places(hashes, len(twice) * 8)))
-                raw = words.raw(part)[0].tobytes()
+                raw = memoryview(words.raw(part)[0])
+                digests = b"".join(hashlib.sha256(raw[s:e]).digest() for s, e in zip(starts[at].tolist(), ends[at].tolist()))
                 rows = pa.array(a + text[at])
-                yield pa.record_batch({"uid": batch.column("uid").take(rows), "doc_id": batch.column("doc_id").take(rows), "line_no": pa.array(number[at].astype(np.int32)), "line": pa.array([raw[s:e].decode() for s, e in zip(starts[at], ends[at])], pa.string())})
+                yield pa.record_batch({"uid": batch.column("uid").take(rows), "doc_id": batch.column("doc_id").take(rows), "line_no": pa.array(number[at].astype(np.int32)), "line": pa.Array.from_buffers(pa.binary(32), len(at), [None, pa.py_buffer(digests)]).cast(pa.binary())})
 
     return run
 
 
-def repeated_lines(docs: DataFrame, bits: int = 16, max_bits: int = 1 << 31) -> DataFrame:
-    """(uid, line_nos): the lines of each document that occur before."""
+def _suspected(shared, place: str):
+    """One more column: whether any line of the text is suspected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice = shared.value
+        for batch in batches:
+            for a, b in words.chunks(batch.column(place)):
+                part = batch.slice(a, b - a)
+                text, _, _, _, hashes = _lines(part.column(place))
+                own = np.zeros(b - a, bool)
+                own[text[_within(twice, _places(hashes, len(twice) * 8))]] = True
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own)], [str(k) for k in range(len(part.columns) + 1)])
+
+    return run
+
+
+def repeated_lines(docs: DataFrame, bits: int = 16, max_bits: int = 1 << 31) -> tuple[DataFrame, Broadcast]:
+    """(uid, line_nos): the lines of each document that occur before; and the twice-seen filter."""
     spark = docs.sparkSession
     own = docs.select(row_key().alias("uid"), "doc_id", "text")
     lines = docs.select(F.sum(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n")).first().n or 0
@@ -136,18 +158,34 @@ def repeated_lines(docs: DataFrame, bits: int = 16, max_bits: int = 1 << 31) ->
     twice = np.zeros(size // 8, np.uint8)
     for row in merged.toLocalIterator():
         twice[row.block * BLOCK_BYTES : (row.block + 1) * BLOCK_BYTES] = np.frombuffer(row.twice, np.uint8)
-    suspects = own.mapInArrow(_suspects(spark.sparkContext.broadcast(twice)), f"uid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int, line string")
+    shared = spark.sparkContext.broadcast(twice)
+    suspects = own.mapInArrow(_suspects(shared), f"uid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int, line binary")
     suspects = written(suspects, "suspects")
     first = suspects.groupBy("line").agg(F.min(F.struct("doc_id", "uid", "line_no")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = suspects.join(first, "line").filter((F.col("uid") != F.col("first.uid")) | (F.col("line_no") != F.col("first.line_no")))
-    return later.groupBy("uid").agg(F.collect_set("line_no").alias("line_nos"))
+    found = written(later.groupBy("uid").agg(F.collect_set("line_no").alias("line_nos")), "repeated")
+    release(suspects)
+    return found, shared
 
 
-def _removed(docs: DataFrame, key: str, gone: str, **how) -> DataFrame:
-    """docs with their key and the numbers of the lines to remove, null where there are none."""
-    keyed = docs.withColumn(key, row_key())
-    drop = repeated_lines(docs, **how).toDF(f"{key}_", gone)
-    return keyed.join(drop, keyed[key] == drop[f"{key}_"], "left").drop(f"{key}_")
+def _removed(docs: DataFrame, gone: str, broadcast_bytes: int, **how) -> DataFrame:
+    """docs and a column of the numbers of the lines to remove, null where there are none.
+
+    While the list of these is no larger than broadcast_bytes it is broadcast and no text moves. Beyond, the texts that
+    have a suspected line move once, to join it.
+    """
+    drop, shared = repeated_lines(docs, **how)
+    key, name, mark = fresh(docs.withColumn(gone, F.lit(0)), "tw_key", "tw_uid", "tw_suspected")
+    size = drop.agg(F.count("*") * 48 + F.coalesce(F.sum(F.size("line_nos")), F.lit(0)) * 8).first()[0]
+    drop = drop.select(F.col("uid").alias(name), F.col("line_nos").alias(gone))
+    columns = [*(F.col(f"`{c}`") for c in docs.columns), F.col(gone)]
+    if size <= broadcast_bytes:
+        return docs.withColumn(key, row_key()).join(F.broadcast(drop), F.col(key) == F.col(name), "left").select(*columns)
+    plain = docs.toDF(*[str(k) for k in range(len(docs.columns))])
+    schema = T.StructType([T.StructField(str(k), f.dataType) for k, f in enumerate([*docs.schema, T.StructField(mark, T.BooleanType())])])
+    marked = plain.mapInArrow(_suspected(shared, str(docs.columns.index("text"))), schema).toDF(*docs.columns, mark)
+    moved = marked.filter(mark).withColumn(key, row_key()).join(drop, F.col(key) == F.col(name), "left").select(*columns)
+    return marked.filter(~F.col(mark)).withColumn(gone, F.lit(None).cast("array<int>")).select(*columns).union(moved)
 
 
 def _kept(gone: str):
@@ -156,25 +194,25 @@ def _kept(gone: str):
     return F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
 
 
-def deduplicate_lines(docs: DataFrame, bits: int = 16, max_bits: int = 1 << 31) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, **how) -> DataFrame:
     """(doc_id, text, n_lines, n_removed) of every document, after removing the lines that occur before."""
-    out = _removed(docs.select("doc_id", "text"), "tw_key", "tw_gone", bits=bits, max_bits=max_bits)
+    out = _removed(docs.select("doc_id", "text"), "tw_gone", broadcast_bytes, **how)
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     return out.select("doc_id", _kept("tw_gone").alias("text"), lines.cast("long").alias("n_lines"), F.coalesce(F.size("tw_gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
-def drop_repeated_lines(docs: DataFrame, bits: int = 16, max_bits: int = 1 << 31) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, **how) -> DataFrame:
     """docs with the repeats removed from text; a document that is left without any but had some is dropped.
 
     n_chars, where it is a column, is set for changed texts.
     """
-    key, gone = fresh(docs, "tw_key", "tw_gone")
-    out = _removed(docs, key, gone, bits=bits, max_bits=max_bits)
+    (gone,) = fresh(docs, "tw_gone")
+    out = _removed(docs, gone, broadcast_bytes, **how)
     text, kind = _kept(gone), docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
     out = out.withColumn("text", text)
     if kind is not None:
         out = out.withColumn("n_chars", F.when(F.col(gone).isNotNull(), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.filter(F.col(gone).isNull() | F.col("text").rlike("\\S")).drop(key, gone)
+    return out.filter(F.col(gone).isNull() | F.col("text").rlike("\\S")).drop(gone)
 
 
 ORACLE = r"""
