@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from trovewise.functions.text import Analyzer
 from trovewise.operators import index as ix
 from trovewise.operators import lookup, queries, reorder, sampling, search, shards
 from trovewise.plans import strategy
@@ -213,3 +214,26 @@ def test_lookup(spark):
         lookup.build(spark.createDataFrame([("a",), ("a",)], "value string"))
     assert lookup.find(table, spark.createDataFrame([("b",), ("z",)], "value string")).orderBy("value").collect()[1].idx is None
     assert lookup.between(table, 0, count=1).count() == 1 and lookup.at(table, 1).first().value == "b"
+
+
+def test_bisection_is_alike_over_the_cluster_and_in_a_task(spark):
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(3)) for _ in range(rng.randrange(12)))) for i in range(64)]
+    index = ix.build(spark.createDataFrame(docs, "doc_id long, text string"))
+    orders = [{r.old: r.new for r in reorder.graph_bisection(index, depth=2, iterations=4, least_df=2, leaf_docs=leaf).collect()} for leaf in (10, 1000)]
+    assert orders[0] == orders[1] and sorted(orders[0].values()) == list(range(64))
+
+
+def test_stored_bounds_answer_alike(spark, tmp_path):
+    from trovewise.plans import tools
+    from trovewise.sources import indexes
+
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(9)))) for i in range(300)], "doc_id long, text string")
+    indexes.save_collection(docs, str(tmp_path / "ix"))
+    assert indexes.load_bounds(spark, str(tmp_path / "ix")) == {}
+    indexes.save_bounds(spark, str(tmp_path / "ix"), k=20)
+    assert indexes.load_bounds(spark, str(tmp_path / "ix"), k=30) == {}
+    lines = spark.createDataFrame([("1:a b",), ("2:c",), ("3:nothing",)], "query string")
+    found = [sorted(tuple(r) for r in tools.answer(spark, str(tmp_path / "ix"), lines, Analyzer(), name).selectExpr("qid", "doc_id", "round(score, 6)", "rank").collect()) for name in ("ranked_or", "wand", "maxscore", "block_max_wand")]
+    assert len(found[0]) == 20 and all(f == found[0] for f in found)

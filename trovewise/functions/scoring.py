@@ -66,10 +66,13 @@ def scorer(name: str, **parameters: float) -> Callable[[Facts], Column]:
 
 
 def quantize(score: Column, most: Column, bits: int = 8) -> Column:
-    """A whole number from 1 to 2^bits - 1 in proportion to score, which is from 0 to most."""
+    """A whole number from 1 to 2^bits - 1 in proportion to score, which is from 0 to most.
+
+    Rounded to 9 places before it is cut, so that scores that differ by the order of sums are cut alike.
+    """
     if not 2 <= bits <= 32:
         raise ValueError("bits must be from 2 to 32")
-    return (F.floor(F.least(score, most) / most * (2.0**bits - 2)) + 1).cast("bigint")
+    return (F.floor(F.round(F.least(score, most) / most * (2.0**bits - 2), 9)) + 1).cast("bigint")
 
 
 def dequantize(value: Column, most: Column, bits: int = 8) -> Column:

@@ -31,6 +31,12 @@ class Index:
         return Index(postings, self.docs, term_stats(postings), self.stats)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over as many partitions as there are cores, where they come in fewer: analysing costs more than moving them."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def forward_index(docs: DataFrame, analyzer: Analyzer = Analyzer(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, terms): the terms of each document in order, with repeats."""
     return docs.select(F.col(doc_id).alias("doc_id"), analyzer(F.col(text)).alias("terms"))
@@ -90,7 +96,10 @@ def term_stats(postings: DataFrame) -> DataFrame:
 
 def build(docs: DataFrame, analyzer: Analyzer = Analyzer(), doc_id: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> Index:
     """The index of a collection; with only (term), of no other terms, which is all that queries of those terms need."""
-    forward = forward_index(docs, analyzer, doc_id, text)
+    return from_forward(forward_index(docs, analyzer, doc_id, text), only)
+
+
+def from_forward(forward: DataFrame, only: DataFrame | None = None) -> Index:
     sizes, postings = doc_sizes(forward), invert(forward, only)
     return Index(postings, sizes, term_stats(postings), collection_stats(sizes))
 
@@ -102,6 +111,11 @@ def forward_from_inverted(postings: DataFrame, least_df: int = 0) -> DataFrame:
     return postings.groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 
+def of_terms(index: Index, only: DataFrame) -> Index:
+    """The index with the postings of some terms only; statistics stay those of the whole."""
+    return Index(index.postings.join(only.select("term").distinct(), "term", "left_semi"), index.docs, index.terms, index.stats)
+
+
 def drop_terms(index: Index, dropped: DataFrame) -> Index:
     """The index without some terms; documents keep their lengths."""
     return index.with_postings(index.postings.join(dropped.select("term").distinct(), "term", "left_anti"))

@@ -81,13 +81,27 @@ def _reaches(bound: Column) -> Column:
     return bound >= F.col("theta") - EPSILON
 
 
+def promising(queries: DataFrame, postings: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(qid, doc_id) of the documents whose terms' list maxima reach the threshold; scores are not read."""
+    own = queries.join(bounds, "term").select("qid", "term", (F.col("weight") * F.col("max_score")).alias("most"))
+    could = own.join(postings.select("term", "doc_id"), "term").groupBy("qid", "doc_id").agg(F.sum("most").alias("most"))
+    return could.join(thresholds(queries, bounds), "qid").filter(_reaches(F.col("most"))).select("qid", "doc_id")
+
+
 def wand(queries: DataFrame, postings: DataFrame, k: int = 10, bounds: DataFrame | None = None) -> DataFrame:
-    """Sums only documents whose terms' list maxima reach the threshold."""
+    """Scores only documents whose terms' list maxima reach the threshold."""
     bounds = score_bounds(postings, k) if bounds is None else bounds
-    limit = thresholds(queries, bounds)
-    hits = matches(queries.join(bounds.select("term"), "term", "left_semi"), postings).join(queries.join(bounds, "term").select("qid", "term", (F.col("weight") * F.col("max_score")).alias("most")), ["qid", "term"])
-    sums = hits.groupBy("qid", "doc_id").agg(F.sum("most").alias("most"), F.sum("score").alias("score"))
-    return top(sums.join(limit, "qid").filter(_reaches(F.col("most"))), k)
+    return top(summed(matches(queries, postings).join(promising(queries, postings, bounds), ["qid", "doc_id"], "left_semi")), k)
+
+
+def pruned(queries: DataFrame, postings: DataFrame, bounds: DataFrame, ranges: DataFrame, width: int = RANGE) -> DataFrame:
+    """(qid, postings, wand, maxscore, ranges): how many of a query's postings there are, and are left by list bounds, by essential lists and by live ranges."""
+    hits = queries.select("qid", "term").join(postings.select("term", "doc_id"), "term")
+    marked = hits.join(essential(queries, bounds).select("qid", "term", "essential"), ["qid", "term"]).withColumn("range_id", F.floor(F.col("doc_id") / width).cast("bigint"))
+    alive = marked.join(live_ranges(queries, ranges, thresholds(queries, bounds)).withColumn("live", F.lit(True)), ["qid", "range_id"], "left")
+    each = alive.join(promising(queries, postings, bounds).withColumn("could", F.lit(True)), ["qid", "doc_id"], "left")
+    count = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
+    return each.groupBy("qid").agg(F.count("*").alias("postings"), count("could").alias("wand"), count("essential").alias("maxscore"), count("live").alias("ranges"))
 
 
 def essential(queries: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -114,19 +128,19 @@ def live_ranges(queries: DataFrame, maxima: DataFrame, limit: DataFrame) -> Data
     return sums.join(limit, "qid").filter(_reaches(F.col("most"))).select("qid", "range_id")
 
 
-def _live(queries: DataFrame, postings: DataFrame, bounds: DataFrame, width: int) -> DataFrame:
-    return live_ranges(queries, range_maxima(postings, width), thresholds(queries, bounds))
+def _live(queries: DataFrame, postings: DataFrame, bounds: DataFrame, ranges: DataFrame | None, width: int) -> DataFrame:
+    return live_ranges(queries, range_maxima(postings, width) if ranges is None else ranges, thresholds(queries, bounds))
 
 
 def _within(hits: DataFrame, live: DataFrame, width: int) -> DataFrame:
     return hits.withColumn("range_id", F.floor(F.col("doc_id") / width).cast("bigint")).join(live, ["qid", "range_id"], "left_semi")
 
 
-def block_max_wand(queries: DataFrame, postings: DataFrame, k: int = 10, blocks: DataFrame | None = None, width: int = RANGE) -> DataFrame:
+def block_max_wand(queries: DataFrame, postings: DataFrame, k: int = 10, blocks: DataFrame | None = None, bounds: DataFrame | None = None, ranges: DataFrame | None = None, width: int = RANGE) -> DataFrame:
     """Keeps live ranges, then documents whose blocks' maxima reach the threshold; blocks may be of fixed or varying size."""
-    bounds = score_bounds(postings, k)
+    bounds = score_bounds(postings, k) if bounds is None else bounds
     blocks = fixed_blocks(postings) if blocks is None else blocks
-    hits = _within(matches(queries, postings), _live(queries, postings, bounds, width), width)
+    hits = _within(matches(queries, postings), _live(queries, postings, bounds, ranges, width), width)
     own = queries.select("qid", "term", "weight").join(blocks, "term").select("qid", "term", "first_doc", "last_doc", (F.col("weight") * F.col("max_score")).alias("most"))
     # A posting's block is found by the ranges that the block spans, so that the join is on equal values.
     spans = own.withColumn("range_id", F.explode(F.sequence(F.floor(F.col("first_doc") / width).cast("bigint"), F.floor(F.col("last_doc") / width).cast("bigint"))))
@@ -135,14 +149,14 @@ def block_max_wand(queries: DataFrame, postings: DataFrame, k: int = 10, blocks:
     return top(sums.join(thresholds(queries, bounds), "qid").filter(_reaches(F.col("most"))), k)
 
 
-def block_max_maxscore(queries: DataFrame, postings: DataFrame, k: int = 10, width: int = RANGE) -> DataFrame:
-    bounds = score_bounds(postings, k)
-    return maxscore(queries, postings, k, bounds, _live(queries, postings, bounds, width), width)
+def block_max_maxscore(queries: DataFrame, postings: DataFrame, k: int = 10, bounds: DataFrame | None = None, ranges: DataFrame | None = None, width: int = RANGE) -> DataFrame:
+    bounds = score_bounds(postings, k) if bounds is None else bounds
+    return maxscore(queries, postings, k, bounds, _live(queries, postings, bounds, ranges, width), width)
 
 
-def block_max_ranked_and(queries: DataFrame, postings: DataFrame, k: int = 10, width: int = RANGE) -> DataFrame:
+def block_max_ranked_and(queries: DataFrame, postings: DataFrame, k: int = 10, ranges: DataFrame | None = None, width: int = RANGE) -> DataFrame:
     """Leaves out ranges of documents in which not every term occurs."""
-    maxima = queries.join(range_maxima(postings, width), "term").groupBy("qid", "range_id").agg(F.count("*").alias("n"))
+    maxima = queries.join(range_maxima(postings, width) if ranges is None else ranges, "term").groupBy("qid", "range_id").agg(F.count("*").alias("n"))
     live = maxima.join(_sizes(queries), "qid").filter("n = n_terms").select("qid", "range_id")
     sums = summed(_within(matches(queries, postings), live, width))
     return top(sums.join(_sizes(queries), "qid").filter("n = n_terms"), k)

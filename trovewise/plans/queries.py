@@ -5,6 +5,7 @@ The collection is documents (doc_id, text); the queries are the texts of benchma
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from ..functions import html, text
 from ..functions.text import Analyzer
 from ..operators import index as ix
 from ..operators import lookup, queries, reorder, sampling, search, shards
-from ..sources import runs
+from ..sources import indexes, runs
+from ..storage import checkpoint_dir
 from . import strategy
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,15 +45,35 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.forward_index(_docs(spark, sf_dir))
+    return ix.forward_index(ix.spread(_docs(spark, sf_dir)))
+
+
+_STORED: dict[tuple[str, ...], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the collection's index with its BM25 bounds, made once a session for the files that documents has now."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/documents.parquet")
+    key = (spark.sparkContext.applicationId, *sorted(f"{r.path} {r.length} {r.modificationTime}" for r in files.select("path", "length", "modificationTime").collect()))
+    if key not in _STORED:
+        path = indexes.temporary(checkpoint_dir(spark))
+        indexes.save_collection(_docs(spark, sf_dir), path)
+        indexes.save_bounds(spark, path, k=K)
+        _STORED[key] = path
+    return _STORED[key]
 
 
 def _index(spark: SparkSession, sf_dir: str) -> ix.Index:
-    return ix.build(_docs(spark, sf_dir))
+    return indexes.load(spark, stored(spark, sf_dir))
 
 
 def _index_for_topics(spark: SparkSession, sf_dir: str) -> ix.Index:
-    return ix.build(_docs(spark, sf_dir), only=_parsed(spark, sf_dir))
+    return ix.of_terms(_index(spark, sf_dir), _parsed(spark, sf_dir))
+
+
+def _bounds(spark: SparkSession, sf_dir: str, plan: Callable) -> dict[str, DataFrame]:
+    """Those of the stored bounds that a strategy takes."""
+    return {name: table for name, table in indexes.load_bounds(spark, stored(spark, sf_dir), k=K).items() if name in inspect.signature(plan).parameters}
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,11 +263,7 @@ def range_max(spark, sf_dir):
 
 @registered(f"WITH {_hits()} SELECT term, doc_id, (floor(round(score / (SELECT max(score) FROM sc) * 254, 9)) + 1)::BIGINT AS value FROM sc")
 def quantize_scores(spark, sf_dir):
-    """Rounded before it is cut, so that both engines cut alike."""
-    postings = ix.scored(_index(spark, sf_dir))
-    most = postings.agg(F.max("score").alias("most"))
-    value = F.floor(F.round(F.col("score") / F.col("most") * 254, 9)) + 1
-    return postings.crossJoin(F.broadcast(most)).select("term", "doc_id", value.cast("bigint").alias("value"))
+    return ix.quantize(ix.scored(_index(spark, sf_dir))).select("term", "doc_id", "value")
 
 
 # Queries
@@ -332,13 +350,13 @@ def _register_ranked() -> None:
     for name, plan in plans.items():
 
         def run(spark, sf_dir, plan=plan):
-            return _shown(plan(*_scored(spark, sf_dir), k=K))
+            return _shown(plan(*_scored(spark, sf_dir), k=K, **_bounds(spark, sf_dir, plan)))
 
         registered(_ranked(), name)(run)
     for name, plan in {"ranked_and": search.ranked_and, "block_max_ranked_and": search.block_max_ranked_and}.items():
 
         def run(spark, sf_dir, plan=plan):
-            return _shown(plan(*_scored(spark, sf_dir), k=K))
+            return _shown(plan(*_scored(spark, sf_dir), k=K, **_bounds(spark, sf_dir, plan)))
 
         registered(_ranked(every=True), name)(run)
 
@@ -354,10 +372,21 @@ def weighted_bm25(spark, sf_dir):
 @registered(f"""WITH {_hits()}, v AS (SELECT qid, doc_id, sum(floor(round(score / (SELECT max(score) FROM sc) * 254, 9)) + 1) AS score FROM hit GROUP BY ALL) {_top('v')}""")
 def ranked_or_quantized(spark, sf_dir):
     index = _index(spark, sf_dir)
-    topics, postings = _topics(spark, sf_dir, index), ix.scored(index)
-    most = postings.agg(F.max("score").alias("most"))
-    stored = postings.crossJoin(F.broadcast(most)).withColumn("score", (F.floor(F.round(F.col("score") / F.col("most") * 254, 9)) + 1).cast("double"))
-    return _shown(search.ranked_or(topics, stored, K))
+    values = ix.quantize(ix.scored(index)).withColumn("score", F.col("value").cast("double"))
+    return _shown(search.ranked_or(_topics(spark, sf_dir, index), values, K))
+
+
+@registered(f"""WITH {_hits()}, kth AS (SELECT term, score FROM sc QUALIFY row_number() OVER (PARTITION BY term ORDER BY score DESC) = {K}),
+mx AS (SELECT term, max(score) AS most FROM sc GROUP BY term),
+th AS (SELECT qid, coalesce(max(kth.score), 0) AS theta FROM q LEFT JOIN kth USING (term) GROUP BY qid),
+ess AS (SELECT qid, term, sum(most) OVER (PARTITION BY qid ORDER BY most, term) >= theta - 1e-9 AS e FROM q JOIN mx USING (term) JOIN th USING (qid)),
+could AS (SELECT qid, doc_id FROM (SELECT qid, doc_id, sum(most) AS m FROM hit JOIN mx USING (term) GROUP BY ALL) JOIN th USING (qid) WHERE m >= theta - 1e-9),
+rm AS (SELECT term, doc_id // 128 AS range_id, max(score) AS m FROM sc GROUP BY ALL),
+live AS (SELECT qid, range_id FROM (SELECT qid, range_id, sum(m) AS most FROM q JOIN rm USING (term) GROUP BY ALL) JOIN th USING (qid) WHERE most >= theta - 1e-9)
+SELECT hit.qid AS qid, count(*) AS postings, count(could.doc_id) AS wand, count(*) FILTER (e) AS maxscore, count(live.range_id) AS ranges
+FROM hit JOIN ess USING (qid, term) LEFT JOIN could ON could.qid = hit.qid AND could.doc_id = hit.doc_id LEFT JOIN live ON live.qid = hit.qid AND live.range_id = hit.doc_id // 128 GROUP BY hit.qid""")
+def pruned_postings(spark, sf_dir):
+    return search.pruned(*_scored(spark, sf_dir), **_bounds(spark, sf_dir, search.pruned))
 
 
 @registered(_ranked())
@@ -388,7 +417,10 @@ def kth_threshold(spark, sf_dir):
     return search.estimated_thresholds(*_scored(spark, sf_dir), k=K).withColumn("threshold", F.round("threshold", 6))
 
 
-@registered()
+@registered(f"""{_KTH}, pr AS (SELECT x.qid, x.term AS a, y.term AS b FROM q x JOIN q y ON x.qid = y.qid AND x.term < y.term),
+sums AS (SELECT pr.qid, a, b, doc_id, sum(score) AS score FROM pr JOIN hit ON hit.qid = pr.qid AND hit.term IN (a, b) GROUP BY ALL),
+two AS (SELECT qid, score FROM sums QUALIFY row_number() OVER (PARTITION BY qid, a, b ORDER BY score DESC) = {K})
+SELECT qid, round(coalesce(max(score), 0), 6) AS threshold FROM (SELECT DISTINCT qid FROM q) LEFT JOIN (SELECT qid, score FROM one UNION ALL SELECT * FROM two) USING (qid) GROUP BY qid""")
 def kth_threshold_pairs(spark, sf_dir):
     return search.estimated_thresholds(*_scored(spark, sf_dir), k=K, terms=2).withColumn("threshold", F.round("threshold", 6))
 
@@ -398,10 +430,14 @@ def intersection(spark, sf_dir):
     return search.intersections(*_scored(spark, sf_dir), whole=True).select("qid", "length", F.round("max_score", 6).alias("max_score"))
 
 
-@registered()
+@registered(f"""WITH {_hits()}, n AS (SELECT qid, term, row_number() OVER (PARTITION BY qid ORDER BY pos) - 1 AS bit FROM q),
+h AS (SELECT qid, bit, doc_id, score FROM hit JOIN n USING (qid, term)),
+s AS (SELECT qid, bit::VARCHAR AS terms, power(2::DOUBLE, bit)::DECIMAL(38, 0) AS mask, score FROM h UNION ALL
+  SELECT x.qid, x.bit || ',' || y.bit, (power(2::DOUBLE, x.bit) + power(2::DOUBLE, y.bit))::DECIMAL(38, 0), x.score + y.score FROM h x JOIN h y ON x.qid = y.qid AND x.doc_id = y.doc_id AND x.bit < y.bit)
+SELECT qid, terms, mask::VARCHAR AS mask, count(*) AS length, round(max(score), 6) AS max_score FROM s GROUP BY ALL""")
 def intersection_combinations(spark, sf_dir):
     found = search.intersections(*_scored(spark, sf_dir), most_terms=2)
-    return found.select("qid", "terms", "length", F.round("max_score", 6).alias("max_score"))
+    return found.select("qid", "terms", F.col("mask").cast("string").alias("mask"), "length", F.round("max_score", 6).alias("max_score"))
 
 
 @registered(f"WITH {_hits()}, t AS ({_top(columns='qid, doc_id, score, rank')}) SELECT qid || ' Q0 ' || doc_id || ' ' || rank || ' ' || printf('%.4f', round(score, 4)) || ' trovewise' AS line FROM t")
@@ -494,9 +530,6 @@ def lookup_table(spark, sf_dir):
 @registered(f"WITH {BASE} x AS (SELECT 1) SELECT 0::BIGINT AS differing, count(*) AS postings FROM post")
 def verify_roundtrip(spark, sf_dir):
     """Writes the index, reads it back and counts the postings that differ either way."""
-    from ..sources import indexes
-    from ..storage import checkpoint_dir
-
     index = _index(spark, sf_dir)
     path = indexes.temporary(checkpoint_dir(spark))
     indexes.save(index, path)

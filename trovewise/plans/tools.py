@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 import argparse
+import inspect
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,19 +30,11 @@ def index_collection(spark: SparkSession, source: str, path: str, format: str =
     """Reads a collection, writes its documents and its index under a path, and returns the index."""
     docs = collections.read(spark, source, format)
     docs.select("doc_id", "title", "url").write.parquet(f"{path}/titles")
-    indexes.save(ix.build(docs, analyzer, text="content"), path, encoding, check=check)
+    indexes.save_collection(docs, path, analyzer, text="content", encoding=encoding, check=check)
     return indexes.load(spark, path)
 
 
-def add_metadata(spark: SparkSession, path: str, scorer: str = "bm25", k: int = 1000, block_size: int | None = 64, penalty: float | None = None) -> None:
-    """Writes list bounds and block maxima of a scorer beside an index; exactly one of block_size and penalty is given."""
-    if (block_size is None) == (penalty is None):
-        raise ValueError("exactly one of block_size and penalty")
-    scored = ix.scored(indexes.load(spark, path), scorer)
-    blocks = ix.fixed_blocks(scored, block_size) if block_size is not None else ix.variable_blocks(scored, penalty)
-    ix.score_bounds(scored, k).write.parquet(f"{path}/{scorer}/bounds")
-    blocks.write.parquet(f"{path}/{scorer}/blocks")
-    ix.range_maxima(scored).write.parquet(f"{path}/{scorer}/ranges")
+add_metadata = indexes.save_bounds
 
 
 def answer(spark: SparkSession, path: str, lines: DataFrame, analyzer: Analyzer = DEFAULT, algorithm: str = "block_max_wand", scorer: str = "bm25", k: int = 10, weighted: bool = False) -> DataFrame:
@@ -50,7 +43,10 @@ def answer(spark: SparkSession, path: str, lines: DataFrame, analyzer: Analyzer
         raise ValueError(f"unknown algorithm: {algorithm}; known: {', '.join(ALGORITHMS)}")
     own = indexes.load(spark, path)
     topics = queries.known(queries.weighted(queries.parse(lines, analyzer), "count" if weighted else "unweighted"), own)
-    return ALGORITHMS[algorithm](topics, ix.scored(own, scorer), k=k)
+    run = ALGORITHMS[algorithm]
+    wanted = set(inspect.signature(run).parameters)
+    stored = {name: table for name, table in indexes.load_bounds(spark, path, scorer, k).items() if name in wanted}
+    return run(topics, ix.scored(ix.of_terms(own, topics), scorer), k=k, **stored)
 
 
 def main(args: list[str] | None = None) -> None:

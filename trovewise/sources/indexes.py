@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import Analyzer
 from ..operators import index as ix
+from ..storage import checkpointed
 
 #: Encodings of posting lists that callers may name; they are a matter of Parquet's here: the codec that compresses pages.
 ENCODINGS = {
@@ -31,7 +34,8 @@ def save(index: ix.Index, path: str, encoding: str = "block_simdbp", quantize_bi
         raise ValueError(f"unknown encoding: {encoding}")
     if quantize_bits and not scorer:
         raise ValueError("quantising needs a scorer")
-    postings = index.postings
+    postings = checkpointed(index.postings)  # the range partitioning below reads it twice
+    index = ix.Index(postings, index.docs, ix.term_stats(postings), index.stats)
     if quantize_bits:
         postings = ix.quantize(ix.scored(index, scorer), quantize_bits).select("term", "doc_id", "tf", "doc_len", "value")
     ordered = postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
@@ -45,6 +49,32 @@ def save(index: ix.Index, path: str, encoding: str = "block_simdbp", quantize_bi
         raise ValueError("what was written differs from the index")
 
 
+def save_collection(docs: DataFrame, path: str, analyzer: Analyzer = Analyzer(), doc_id: str = "doc_id", text: str = "text", **how) -> None:
+    """Analyses a collection once: writes its forward index under a path, and inverts what was written."""
+    ix.forward_index(ix.spread(docs), analyzer, doc_id, text).write.parquet(f"{path}/forward")
+    save(ix.from_forward(docs.sparkSession.read.parquet(f"{path}/forward")), path, **how)
+
+
+def save_bounds(spark: SparkSession, path: str, scorer: str = "bm25", k: int = 1000, block_size: int | None = 64, penalty: float | None = None) -> None:
+    """Writes list bounds, block maxima and range maxima of a scorer beside an index; exactly one of block_size and penalty is given."""
+    if (block_size is None) == (penalty is None):
+        raise ValueError("exactly one of block_size and penalty")
+    scored = checkpointed(ix.scored(load(spark, path), scorer))
+    blocks = ix.fixed_blocks(scored, block_size) if block_size is not None else ix.variable_blocks(scored, penalty)
+    for name, table in {"bounds": ix.score_bounds(scored, k), "blocks": blocks, "ranges": ix.range_maxima(scored)}.items():
+        table.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/{scorer}/{name}")
+    spark.createDataFrame([(json.dumps({"k": k, "block_size": block_size, "penalty": penalty}),)], "value string").coalesce(1).write.text(f"{path}/{scorer}/about")
+
+
+def load_bounds(spark: SparkSession, path: str, scorer: str = "bm25", k: int = 10) -> dict[str, DataFrame]:
+    """The stored bounds, blocks and ranges of a scorer; none where they were not made, or for fewer results than k."""
+    try:
+        note = json.loads(spark.read.text(f"{path}/{scorer}/about").first().value)
+    except AnalysisException:
+        return {}
+    return {name: spark.read.parquet(f"{path}/{scorer}/{name}") for name in ("bounds", "blocks", "ranges")} if note["k"] >= k else {}
+
+
 def load(spark: SparkSession, path: str) -> ix.Index:
     return ix.Index(*[spark.read.parquet(f"{path}/{part}") for part in ("postings", "docs", "terms", "stats")])
 

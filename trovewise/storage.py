@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests, local mode) is one made and set."""
+    """spark.checkpoint.dir of the session; only where it is unset and the session local (tests) is one made and set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(named)
         return named
     if not spark.sparkContext.getCheckpointDir():
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trovewise-"))
     return spark.sparkContext.getCheckpointDir()
 
