@@ -5,8 +5,11 @@ are broadcast, which bounds what is broadcast whatever the corpus (a piece of ov
 them). Rarer pieces are encoded in the row in which they stand, each once a document, so no text and no piece position
 is ever shuffled. Both are encoded by the same fold: Spark higher-order functions over the array of the piece's bytes
 merge the neighbours of the least rank, the leftmost first, until no pair of neighbours has a rank. Ranks come from a
-literal hash map in the plan, buckets of byte strings with their ranks. Decoding concatenates the binary pieces of a
-literal array.
+literal hash map in the plan. Decoding concatenates the byte strings of a literal array.
+
+Words are cut beforehand between bytes that no token holds side by side, which no merge can join; so a long run without
+blanks mostly falls into short pieces. In what stays longer than LONG, a pair that occurs over MANY times is merged
+everywhere in one step (no merge of a rank makes another pair of that rank), as in runs of one sign.
 
 Defined cases: a null text has null ids and decodes to null; an empty text has no ids and decodes to the empty text.
 Ids outside the vocabulary and null ids decode to nothing. Repeated rows are encoded alike. Other columns pass through.
@@ -17,6 +20,7 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,7 @@ from .shared import fresh, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 NONE = 2**31 - 1
+LONG, MANY = 64, 16
 
 
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -55,76 +60,137 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def seams(ranks: dict[bytes, int]) -> np.ndarray:
+    """Of each pair of bytes a * 256 + b, whether no token holds a followed by b: then no merge ever spans them."""
+    held = np.zeros(1 << 16, bool)
+    for token in ranks:
+        for a, b in zip(token, token[1:]):
+            held[a * 256 + b] = True
+    return ~held
+
+
+def _hashed(pairs: list[tuple[int, int, int]], factors: tuple[int, int], first: int, second: int) -> tuple[list[int], list[int]]:
+    """A perfect hash of pairs (a, b) of tokens: displacements by a first hash, and entries at the second hash with its displacement."""
+    groups: dict[int, list[tuple[int, int]]] = {}
+    for a, b, r in pairs:
+        groups.setdefault((a * 33 ^ b * 157) & first, []).append(((a * factors[0] ^ b * factors[1]) & second, (a << 40) + (b << 20) + r))
+    free = 1 << 62
+    moves, slots = [0] * (first + 1), [free] * (second + 1)
+    for g, own in sorted(groups.items(), key=lambda x: -len(x[1])):
+        moves[g] = next(d for d in range(second + 1) if all(slots[h ^ d] == free for h, _ in own))
+        for h, entry in own:
+            slots[h ^ moves[g]] = entry
+    return moves, slots
+
+
+@lru_cache(4)
+def _tables(vocabulary: str) -> tuple:
+    """The number of ids, factors and masks of the two hashes, and as JSON displacements, entries, ids of single bytes and base 64 of all tokens."""
+    ranks = read_ranks(vocabulary)
+    ids = max(ranks.values(), default=-1) + 1
+    if ids >= Folds.NONE - 1:
+        raise ValueError(f"token ids must be below {Folds.NONE - 1}")
+    pairs = [(ranks[a], ranks[b], r) for t, r in ranks.items() if len(t) > 1 for a, b in [last_merge(t, ranks)]]
+    first, second = ((1 << max(4, len(pairs).bit_length() + k)) - 1 for k in (-1, 1))
+    most = min(40503, (2**31 - 1) // (ids + 1))  # with such factors no id overflows an integer
+    a, b = (np.array([x[k] for x in pairs], np.int64) for k in (0, 1))
+    group = ((a * 33 ^ b * 157) & first) * (second + 1)
+    tries = ((most - 1 | 1, int(most * share) - 1 | 1) for share in np.linspace(0.8243, 0.5, 200))
+    factors = next(f for f in tries if len(np.unique(group + ((a * f[0] ^ b * f[1]) & second))) == len(pairs))
+    found = _hashed(pairs, factors, first, second)
+    by_id = [""] * ids
+    for piece, rank in ranks.items():
+        by_id[rank] = base64.b64encode(piece).decode()
+    return ids, factors, first, second, *(json.dumps(x, separators=(",", ":")) for x in (*found, [ranks[bytes([b])] for b in range(256)], by_id))
+
+
 class Folds:
     """The vocabulary as literals, and the expressions over them.
 
     Merging tokens a and b has the rank of the joined bytes, which is the id of the merged token. The literal rank map
-    is a hash map: entry (a, b) -> id is the number (a * SHIFT + b) * SHIFT + id in the bucket of (a, b).
+    is a perfect hash: the entry (a, b, id) of a pair stands at the place that its hashes give, so that an entry XOR
+    (a, b, 0) is the id, or NONE and more if the pair has none.
     """
 
-    SHIFT = 1 << 20
-
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        pairs = [(ranks[a], ranks[b], r) for t, r in ranks.items() if len(t) > 1 for a, b in [last_merge(t, ranks)]]
-        self.mask = (1 << max(4, len(pairs).bit_length())) - 1
-        buckets: list[list[int]] = [[] for _ in range(self.mask + 1)]
-        for a, b, r in pairs:
-            buckets[(a * 33 ^ b * 157) & self.mask].append((a * self.SHIFT + b) * self.SHIFT + r)
-        by_id = [""] * (max(ranks.values(), default=-1) + 1)
-        for piece, rank in ranks.items():
-            by_id[rank] = base64.b64encode(piece).decode()
-        self.buckets = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
-        self.bytes = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<int>")
-        self.pieces = F.from_json(F.lit(json.dumps(by_id)), "array<binary>")
+    NONE = 1 << 20
+
+    def __init__(self, vocabulary: str = VOCABULARY) -> None:
+        self.ids, self.factors, self.first, self.second, *tables = _tables(vocabulary)
+        literal = lambda values, kind: F.from_json(F.lit(values), kind)
+        self.moves, self.slots = literal(tables[0], "array<int>"), literal(tables[1], "array<bigint>")
+        self.bytes = literal(tables[2], "array<int>")
+        self.pieces = literal(tables[3], "array<binary>").cast("array<string>")
+
+    def _rank(self, known: Column, a: Column, b: Column) -> Column:
+        """The id that the pair merges to; NONE or more if it doesn't."""
+        move = F.get(known["m"], (a * 33).bitwiseXOR(b * 157).bitwiseAND(F.lit(self.first)))
+        place = (a * self.factors[0]).bitwiseXOR(b * self.factors[1]).bitwiseAND(F.lit(self.second)).bitwiseXOR(move)
+        return F.get(known["s"], place).bitwiseXOR(a.cast("bigint") * (1 << 40) + b.cast("bigint") * (1 << 20))
 
     def encode(self, piece: Column) -> Column:
-        """The token ids of a piece of at least one byte."""
-        return _let(F.struct(self.buckets.alias("b"), self.bytes.alias("y")), lambda known: self._encode(piece, known))
-
-    def _encode(self, piece: Column, known: Column) -> Column:
-        none = F.lit(self.SHIFT)
-
-        def rank(a: Column, b: Column) -> Column:
-            """Rank of a pair of tokens; none, which is greater than any, if it has none."""
-            bucket = F.get(known["b"], (a * 33).bitwiseXOR(b * 157).bitwiseAND(F.lit(self.mask)))
-            key = a.cast("bigint") * self.SHIFT + b
-            return F.coalesce(F.get(F.filter(bucket, lambda e: F.shiftrightunsigned(e, 20) == key), 0).bitwiseAND(F.lit(self.SHIFT - 1)).cast("int"), none)
-
-        def state(parts: Column, ranks: Column) -> Column:
-            """Parts, the ranks of their neighbours, and rank and place of the next merge."""
-            ready = F.struct(parts.alias("p"), ranks.alias("r"))
-            return _let(ready, lambda v: _let(F.array_min(v["r"]), lambda m: F.struct(v["p"].alias("p"), v["r"].alias("r"), m.alias("m"), F.array_position(v["r"], m).cast("int").alias("n"))))
-
-        def merge(v: Column) -> Column:
-            p, r, m, n = v["p"], v["r"], v["m"], v["n"]
-            parts = F.concat(F.slice(p, F.lit(1), n - 1), F.array(m), F.slice(p, n + 2, F.size(p)))
-            before = F.when(n > 1, F.concat(F.slice(r, F.lit(1), n - 2), F.array(rank(F.get(p, n - 2), m))))
-            after = F.when(n < F.size(r), F.concat(F.array(rank(m, F.get(p, n + 1))), F.slice(r, n + 2, F.size(r))))
-            nothing = F.lit([]).cast("array<int>")
-            return state(parts, F.concat(F.coalesce(before, nothing), F.coalesce(after, nothing)))
-
-        byte = F.transform(F.split(F.decode(piece, "ISO-8859-1"), ""), lambda c: F.get(known["y"], F.ascii(c)))
-        size = F.octet_length(piece)
-        first = _let(byte, lambda p: state(p, F.when(size > 1, F.transform(F.sequence(F.lit(0), size - 2), lambda i: rank(F.get(p, i), F.get(p, i + 1)))).otherwise(F.lit([]).cast("array<int>"))))
-        done = F.aggregate(F.sequence(F.lit(1), size), first, lambda v, _: F.when(v["m"] < none, merge(v)).otherwise(v))
-        return done["p"]
+        """The token ids of a piece of at least one byte.
+
+        The fold's state is the parts, with a sentinel at either end, and the ranks of neighbours. A step merges the
+        leftmost pair of the least rank. In a piece of over LONG bytes it merges all of them at once if they are many,
+        and steps run in turns, so that few are left to do nothing after the last merge: each copies the state.
+        """
+        size, end = F.octet_length(piece), F.array(F.lit(self.ids))
+
+        def folded(known: Column) -> Column:
+            def neighbours(p: Column) -> Column:
+                return F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: self._rank(known, F.get(p, i), F.get(p, i + 1)))
+
+            def one(v: Column, m: Column, n: Column) -> Column:
+                p, r = v["p"], v["r"]
+                ranks = F.array(self._rank(known, F.get(p, n - 2), m), self._rank(known, m, F.get(p, n + 1)))
+                return F.struct(F.concat(F.slice(p, F.lit(1), n - 1), F.array(m), F.slice(p, n + 2, size)).alias("p"), F.concat(F.slice(r, F.lit(1), n - 2), ranks, F.slice(r, n + 2, size)).alias("r"))
+
+            def every(v: Column, m: Column) -> Column:
+                """All pairs of the least rank; of those that overlap, as in aaa, every other one."""
+                signs = F.array_join(F.transform(v["r"], lambda x: F.when(x == m, "1").otherwise("0")), "")
+                flags = F.split(F.concat(F.lit("0"), F.replace(signs, F.lit("11"), F.lit("10")), F.lit("0")), "")
+                merged = _let(flags, lambda f: F.filter(F.transform(v["p"], lambda x, i: F.when(F.get(f, i) == "1", -1).when(F.get(f, i + 1) == "1", m).otherwise(x)), lambda x: x >= 0))
+                return _let(merged, lambda p: F.struct(p.alias("p"), neighbours(p).alias("r")))
+
+            def step(v: Column, long: bool) -> Column:
+                least = F.array_min(v["r"])
+
+                def merged(x: Column) -> Column:
+                    m, n = x["m"].cast("int"), x["n"]
+                    often = F.size(F.filter(v["r"], lambda r: r == x["m"])) > MANY
+                    return F.when(x["m"] < self.NONE, F.when(often, every(v, m)).otherwise(one(v, m, n)) if long else one(v, m, n)).otherwise(v)
+
+                return _let(F.struct(least.alias("m"), F.array_position(v["r"], least).cast("int").alias("n")), merged)
+
+            turn, active = F.sequence(F.lit(1), F.ceil(F.cbrt(size.cast("double"))).cast("int")), lambda v: F.array_min(v["r"]) < self.NONE
+            inner = lambda v: F.aggregate(turn, v, lambda u, _: F.when(active(u), F.aggregate(turn, u, lambda w, _: step(w, True))).otherwise(u))
+            first = _let(F.concat(end, F.transform(F.split(F.decode(piece, "ISO-8859-1"), ""), lambda c: F.get(known["y"], F.ascii(c))), end), lambda p: F.struct(p.alias("p"), neighbours(p).alias("r")))
+            short = F.aggregate(F.sequence(F.lit(2), size), first, lambda v, _: step(v, False))
+            turns = F.aggregate(turn, first, lambda v, _: F.when(active(v), inner(v)).otherwise(v))
+            parts = F.when(size > LONG, turns["p"]).otherwise(short["p"])
+            return F.when(size == 1, F.array(F.get(known["y"], F.ascii(F.decode(piece, "ISO-8859-1"))))).otherwise(_let(parts, lambda p: F.slice(p, F.lit(2), F.size(p) - 2)))
+
+        return _let(F.struct(self.moves.alias("m"), self.slots.alias("s"), self.bytes.alias("y")), folded)
 
     def decode(self, ids: Column) -> Column:
-        """The bytes of an array of token ids."""
-        return F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i).cast("string")), "").cast("binary")
+        """The bytes of an array of token ids: their pieces, byte strings of which none need be valid alone, joined."""
+        return F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), "").cast("binary")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(0)
-        for a, b in words.chunks(texts):
-            known, _, n = pieces.split(texts.slice(a, b - a)).distinct()
-            yield pa.record_batch({"piece": known.cast(pa.binary()), "n": pa.array(n.astype(np.int64))})
+def _counted(seam: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0)
+            for a, b in words.chunks(texts):
+                known, _, n = pieces.split(texts.slice(a, b - a)).cut(seam).distinct()
+                yield pa.record_batch({"piece": known.cast(pa.binary()), "n": pa.array(n.astype(np.int64))})
+
+    return run
 
 
-def piece_counts(docs: DataFrame) -> DataFrame:
+def piece_counts(docs: DataFrame, seam: np.ndarray) -> DataFrame:
     """(piece, n) of all pieces of all documents."""
-    return docs.select("text").mapInArrow(_counted, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(_counted(seam), "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +247,7 @@ def _places(own: pa.Array, hashes: np.ndarray, known: pa.Array) -> np.ndarray:
     return np.where((hashes[at] == h) & pc.equal(own, known.take(pa.array(at))).to_numpy(zero_copy_only=False), at, -1)
 
 
-def _looked_up(shared, place: str):
+def _looked_up(shared, place: str, seam: np.ndarray):
     """Two more columns: ids, in which -k - 1 stands for piece k of the second, the document's rare pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +257,7 @@ def _looked_up(shared, place: str):
             for a, b in words.chunks(batch.column(place)):
                 part = batch.slice(a, b - a)
                 texts = part.column(place)
-                p = pieces.split(texts)
+                p = pieces.split(texts).cut(seam)
                 own, which, _ = p.distinct()
                 at = _places(own.cast(pa.binary()), hashes, known)[which]
                 rare = np.flatnonzero(at < 0)
@@ -216,9 +282,9 @@ def _looked_up(shared, place: str):
 
 def encode(docs: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY, head: int = 1 << 21, long_piece: int = 64) -> DataFrame:
     """docs and one more column, the token ids of text."""
-    ranks = read_ranks(vocabulary)
-    folds = Folds(ranks)
-    counts = written(piece_counts(docs), "pieces")
+    ranks, folds = read_ranks(vocabulary), Folds(vocabulary)
+    seam = seams(ranks)
+    counts = written(piece_counts(docs, seam), "pieces")
     table = _head(counts, folds, head, long_piece, np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.int32)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     del table
@@ -226,7 +292,7 @@ def encode(docs: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY, head
     names = docs.columns
     plain = docs.toDF(*[str(k) for k in range(len(names))])
     schema = T.StructType([T.StructField(str(k), f.dataType) for k, f in enumerate(docs.schema)] + [T.StructField(str(len(names)), T.ArrayType(T.IntegerType())), T.StructField(str(len(names) + 1), T.ArrayType(T.BinaryType()))])
-    out = plain.mapInArrow(_looked_up(shared, str(names.index("text"))), schema)
+    out = plain.mapInArrow(_looked_up(shared, str(names.index("text")), seam), schema)
     flat, rare = F.col(str(len(names))), F.col(str(len(names) + 1))
     whole = _let(F.transform(rare, folds.encode), lambda own: F.flatten(F.transform(flat, lambda i: F.when(i < 0, F.get(own, -i - 1)).otherwise(F.array(i)))))
     return out.select(*[F.col(str(k)).alias(c) for k, c in enumerate(names)], F.when(F.size(rare) == 0, flat).otherwise(whole).alias(ids))
@@ -235,7 +301,7 @@ def encode(docs: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY, head
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, **how) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every document; decoded is the text again, from the ids."""
     out = encode(docs.select("doc_id", "text"), "ids", vocabulary, **how)
-    back = Folds(read_ranks(vocabulary)).decode(F.col("ids")).cast("string")
+    back = Folds(vocabulary).decode(F.col("ids")).cast("string")
     return out.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_tokens"), "ids", back.alias("decoded"))
 
 
@@ -244,5 +310,5 @@ def add_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, **how) -> DataFram
     names = docs.columns
     tokens, count = fresh(docs, "tokens", "n_tokens")
     out = encode(docs, tokens, vocabulary, **how)
-    back = Folds(read_ranks(vocabulary)).decode(F.col(tokens)).cast("string")
+    back = Folds(vocabulary).decode(F.col(tokens)).cast("string")
     return out.select(*[back.alias(c) if c == "text" else F.col(f"`{c}`") for c in names], tokens, F.when(F.col(tokens).isNotNull(), F.size(tokens)).alias(count))

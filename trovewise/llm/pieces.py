@@ -44,6 +44,16 @@ class Pieces:
     def counts(self) -> np.ndarray:
         return np.diff(self.offsets)
 
+    def cut(self, seam: np.ndarray) -> Pieces:
+        """These pieces, cut further between bytes a and b where seam[a * 256 + b]."""
+        if len(self.data) < 2:
+            return self
+        more = np.flatnonzero(seam[self.data[:-1].astype(np.int32) * 256 + self.data[1:]]) + 1
+        start = np.zeros(len(self.data) + 1, bool)
+        start[self.edges] = start[more] = True
+        edges = np.flatnonzero(start)
+        return Pieces(self.data, edges, np.searchsorted(edges, self.edges[self.offsets]))
+
     def distinct(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """The different pieces, which of them each piece is, and how often each occurs."""
         whole = pa.Array.from_buffers(pa.large_binary(), len(self.edges) - 1, [None, pa.py_buffer(self.edges.astype(np.int64)), pa.py_buffer(self.data)])

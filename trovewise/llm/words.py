@@ -7,12 +7,14 @@ Lower-casing maps one character to one, so positions in the lower-cased text are
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 
 CHUNK_BYTES = 1 << 21
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -64,8 +66,27 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, bounds[-1] - bounds[0], bounds[0]), bounds - bounds[0]
 
 
+_process = _Cache()
+
+
+def _lean() -> None:
+    """Memory that a worker's last task held goes back to the system when the next begins: many share an executor's."""
+    task = TaskContext.get()
+    if task is None or _process.get("task") == task.taskAttemptId():
+        return
+    _process["task"] = task.taskAttemptId()
+    if "libc" not in _process:
+        try:
+            _process["libc"] = ctypes.CDLL("libc.so.6").malloc_trim
+        except (OSError, AttributeError):
+            _process["libc"] = lambda _: None
+    pa.default_memory_pool().release_unused()
+    _process["libc"](0)
+
+
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most limit bytes each, one row at least; a text is never cut."""
+    _lean()
     lengths = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     start, total = 0, 0
     for i, n in enumerate(lengths):
