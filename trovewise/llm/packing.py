@@ -6,8 +6,9 @@ go, longest first, to the row whose remaining capacity is the least that suffice
 finds it. Nothing is shuffled, memory is bounded by the buffer, and a lost task repeats exactly.
 
 A packed row has its ids, padded with the end token; cu_seqlens, the cumulative segment lengths from 0; position_ids,
-which restart at every segment (and at the padding); and the doc_id and part number of every segment, from which
-unpack() restores the documents.
+which restart at every segment (and at the padding); and of every segment the doc_id, a key of its document's row, and
+the part number, from which unpack() restores the documents, also those of equal doc_id. Keys and which segments share
+a row hang on how the table is partitioned; the segments and their ids don't.
 
 Defined cases: a null text has no segment; an empty one has the end token alone; a null doc_id stays null. Repeated
 rows are packed as often as they occur. Other columns are not read. An empty table gives no rows.
@@ -123,8 +124,8 @@ class Tokens:
         return flat, np.concatenate([[0], np.cumsum(size)])[p.offsets]
 
 
-def _rows(ids: np.ndarray, sizes: np.ndarray, docs: pa.Array, length: int, end: int, first: int) -> Iterator[pa.RecordBatch]:
-    """Packs documents given by their ids, one after the other, and sizes."""
+def _rows(ids: np.ndarray, sizes: np.ndarray, docs: pa.Array, length: int, end: int, first: int, key: int) -> Iterator[pa.RecordBatch]:
+    """Packs documents given by their ids, one after the other, and sizes; their keys count from key."""
     cuts = -(-sizes // length)
     doc = np.repeat(np.arange(len(sizes)), cuts)
     part = np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
@@ -157,6 +158,7 @@ def _rows(ids: np.ndarray, sizes: np.ndarray, docs: pa.Array, length: int, end:
                 "cu_seqlens": pa.ListArray.from_arrays(pa.array((edges[a : b + 1] - x + np.arange(n + 1)).astype(np.int32)), pa.array(lengths)),
                 "position_ids": pa.ListArray.from_arrays(wide, pa.array(places.ravel())),
                 "doc_ids": pa.ListArray.from_arrays(offsets, docs.take(pa.array(doc[x:y]))),
+                "doc_keys": pa.ListArray.from_arrays(offsets, pa.array(key + doc[x:y])),
                 "parts": pa.ListArray.from_arrays(offsets, pa.array(part[x:y].astype(np.int32))),
             }
         )
@@ -165,14 +167,15 @@ def _rows(ids: np.ndarray, sizes: np.ndarray, docs: pa.Array, length: int, end:
 def _packer(vocabulary: str, length: int, buffer_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(vocabulary)
-        base, used = TaskContext.get().partitionId() << 36, 0
+        base, used, read = TaskContext.get().partitionId() << 36, 0, 0
         ids, sizes, docs, held = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal used, held
-            for out in _rows(np.concatenate(ids), np.concatenate(sizes), pa.concat_arrays(docs), length, tokens.end, base + used):
+            nonlocal used, held, read
+            for out in _rows(np.concatenate(ids), np.concatenate(sizes), pa.concat_arrays(docs), length, tokens.end, base + used, base + read):
                 used += out.num_rows
                 yield out
+            read += sum(map(len, docs))
             ids.clear(), sizes.clear(), docs.clear()
             held = 0
 
@@ -193,28 +196,32 @@ def _packer(vocabulary: str, length: int, buffer_tokens: int):
 
 
 def pack(docs: DataFrame, length: int = 2048, vocabulary: str = VOCABULARY, buffer_tokens: int = 1 << 23) -> DataFrame:
-    """(row_id, ids, cu_seqlens, position_ids, doc_ids, parts) of every packed row."""
+    """(row_id, ids, cu_seqlens, position_ids, doc_ids, doc_keys, parts) of every packed row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row_id long, ids array<int>, cu_seqlens array<int>, position_ids array<int>, doc_ids array<{kind}>, parts array<int>"
+    schema = f"row_id long, ids array<int>, cu_seqlens array<int>, position_ids array<int>, doc_ids array<{kind}>, doc_keys array<long>, parts array<int>"
     return docs.select("doc_id", "text").mapInArrow(_packer(vocabulary, length, buffer_tokens), schema)
 
 
 def unpack(packed: DataFrame) -> DataFrame:
-    """(doc_id, ids) of every document, without its end token; documents of equal doc_id must be told apart before packing."""
-    parts = packed.select("ids", "cu_seqlens", F.posexplode(F.arrays_zip("doc_ids", "parts")).alias("at", "s"))
-    parts = parts.select("s.doc_ids", F.col("s.parts").alias("part"), F.slice("ids", F.get("cu_seqlens", F.col("at")) + 1, F.get("cu_seqlens", F.col("at") + 1) - F.get("cu_seqlens", F.col("at"))).alias("ids"))
-    whole = parts.groupBy(F.col("doc_ids").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("all"))
+    """(doc_id, ids) of every document, without its end token; rows of equal or null doc_id are told apart by their keys."""
+    parts = packed.select("ids", "cu_seqlens", F.posexplode(F.arrays_zip("doc_ids", "doc_keys", "parts")).alias("at", "s"))
+    size = F.get("cu_seqlens", F.col("at") + 1) - F.get("cu_seqlens", F.col("at"))
+    parts = parts.select("s.doc_ids", "s.doc_keys", F.col("s.parts").alias("part"), F.slice("ids", F.get("cu_seqlens", F.col("at")) + 1, size).alias("ids"))
+    whole = parts.groupBy("doc_keys").agg(F.first("doc_ids").alias("doc_id"), F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("all"))
     return whole.select("doc_id", F.flatten("all.ids").alias("ids")).select("doc_id", F.slice("ids", F.lit(1), F.size("ids") - 1).alias("ids"))
 
 
 def as_binary(packed: DataFrame, wide: bool = False) -> DataFrame:
-    """(row_id, ids) with ids as little-endian integers of 2 bytes, or 4 if wide, for token files."""
+    """(row_id, ids) with ids as little-endian integers of 2 bytes, or 4 if wide, for token files; an id that doesn't fit is an error."""
     kind = np.uint32 if wide else np.uint16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("ids")
-            flat = lists.flatten().to_numpy().astype(kind).tobytes()
+            flat = lists.flatten().to_numpy()
+            if len(flat) and (flat.min() < 0 or flat.max() > np.iinfo(kind).max):
+                raise ValueError("ids that 2 bytes can't hold: ask for wide")
+            flat = flat.astype(kind).tobytes()
             ends = (np.asarray(lists.offsets) - lists.offsets[0].as_py()) * np.dtype(kind).itemsize
             yield pa.record_batch({"row_id": batch.column("row_id"), "ids": pa.array([flat[a:b] for a, b in zip(ends[:-1], ends[1:])], pa.binary())})
 

@@ -45,6 +45,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.as_binary(packing.pack(_table(spark, sf_dir, "documents")))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.segments(_table(spark, sf_dir, "conversations"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
     "op8_packing": op8_packing,
+    "token_files": token_files,
     "op9_chat_format": op9_chat_format,
     "op10_perplexity": op10_perplexity,
 }
