@@ -284,11 +284,12 @@ def encode(docs: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY, head
     """docs and one more column, the token ids of text."""
     ranks, folds = read_ranks(vocabulary), Folds(vocabulary)
     seam = seams(ranks)
+    words.trim()
     counts = written(piece_counts(docs, seam), "pieces")
     table = _head(counts, folds, head, long_piece, np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.int32)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     del table
-    pa.default_memory_pool().release_unused()
+    words.trim()
     names = docs.columns
     plain = docs.toDF(*[str(k) for k in range(len(names))])
     schema = T.StructType([T.StructField(str(k), f.dataType) for k, f in enumerate(docs.schema)] + [T.StructField(str(len(names)), T.ArrayType(T.IntegerType())), T.StructField(str(len(names) + 1), T.ArrayType(T.BinaryType()))])

@@ -189,6 +189,30 @@ def _parts(counts: np.ndarray, tokens: int) -> Iterator[tuple[int, int]]:
         yield start, len(counts)
 
 
+def gradient(theta: np.ndarray, parts: list[tuple], seen: np.ndarray, v: int) -> np.ndarray:
+    """Of the log likelihood of the tags: their features less those that the field expects.
+
+    theta: weights of v features at a token, before and after it, bias, 2 x 2 transitions. parts: (pairs of place and
+    feature of each token, tags, Layout); seen: the transitions of all tags, each text's first coming from state 0.
+    """
+    a = np.exp(theta[-4:].reshape(2, 2))
+    weights = theta[: 3 * v].reshape(3, v)
+    grad = np.zeros_like(theta)
+    to = grad[: 3 * v].reshape(3, v)
+    grad[-4:] += seen.ravel()
+    for features, tag, lay in parts:
+        e = np.exp(np.clip(sum(weights[k][x] for k, x in features) + theta[3 * v], -30, 30))
+        p, f, b = messages(lay, e, a)
+        joint = [[(f if i else 1 - f) * a[i, j] * (e * b if j else 1 - b) for j in (0, 1)] for i in (0, 1)]
+        z = joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1]
+        off = tag - p
+        for k, x in features:
+            to[k] += np.bincount(x, off, v)
+        grad[3 * v] += off.sum()
+        grad[-4:] -= [(joint[i][j] / z).sum() for i in (0, 1) for j in (0, 1)]
+    return grad
+
+
 def fit(texts: list[str | None], toxic: np.ndarray, tokens: int = 400_000, steps: int = 60, rate: float = 0.3, decay: float = 1e-3) -> dict | None:
     """The field's weights, or None if nothing tells toxic documents.
 
@@ -248,21 +272,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, tokens: int = 400_000, steps
     size = 3 * v + 5
     theta, first, second = np.zeros(size), np.zeros(size), np.zeros(size)
     for step in range(1, steps + 1):
-        a = np.exp(theta[-4:].reshape(2, 2))
-        weights = theta[: 3 * v].reshape(3, v)
-        grad = -decay * theta
-        to = grad[: 3 * v].reshape(3, v)
-        grad[-4:] += seen.ravel()
-        for features, tag, lay in parts:
-            e = np.exp(np.clip(sum(weights[k][x] for k, x in features) + theta[3 * v], -30, 30))
-            p, f, b = messages(lay, e, a)
-            joint = [[(f if i else 1 - f) * a[i, j] * (e * b if j else 1 - b) for j in (0, 1)] for i in (0, 1)]
-            z = joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1]
-            off = tag - p
-            for k, x in features:
-                to[k] += np.bincount(x, off, v)
-            grad[3 * v] += off.sum()
-            grad[-4:] -= [(joint[i][j] / z).sum() for i in (0, 1) for j in (0, 1)]
+        grad = gradient(theta, parts, seen, v) - decay * theta
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad * grad
         theta += rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -355,6 +365,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[list[str | No
 
 def _tagged(docs: DataFrame, labels: DataFrame, score: str, spans: str, threshold: float, rows: int) -> DataFrame:
     model = fit(*sample(docs, labels, rows))
+    words.trim()
     if model is None:
         return docs.withColumn(score, F.lit(0.0)).withColumn(spans, F.array().cast(_SPANS))
     shared = docs.sparkSession.sparkContext.broadcast(model)

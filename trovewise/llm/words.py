@@ -69,12 +69,8 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _process = _Cache()
 
 
-def _lean() -> None:
-    """Memory that a worker's last task held goes back to the system when the next begins: many share an executor's."""
-    task = TaskContext.get()
-    if task is None or _process.get("task") == task.taskAttemptId():
-        return
-    _process["task"] = task.taskAttemptId()
+def trim() -> None:
+    """Give memory that is no longer used back to the system."""
     if "libc" not in _process:
         try:
             _process["libc"] = ctypes.CDLL("libc.so.6").malloc_trim
@@ -84,6 +80,14 @@ def _lean() -> None:
     _process["libc"](0)
 
 
+def _lean() -> None:
+    """What a worker's last task held goes back to the system when the next begins: many share an executor's memory."""
+    task = TaskContext.get()
+    if task is not None and _process.get("task") != task.taskAttemptId():
+        _process["task"] = task.taskAttemptId()
+        trim()
+
+
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most limit bytes each, one row at least; a text is never cut."""
     _lean()
