@@ -1,5 +1,7 @@
 """Near and line dedup, decontamination, toxicity, BPE, packing and the pipeline against brute force, and their edge cases."""
 
+import base64
+import itertools
 import random
 import re
 
@@ -245,6 +247,35 @@ def toxic_corpus(spark, n=600):
     return texts, labels, bad
 
 
+def test_gradient_of_the_field_against_differences():
+    """The field's gradient is that of the log likelihood, which is counted out here over all sequences of tags."""
+    rng = np.random.default_rng(2)
+    v, counts = 4, np.array([3, 1, 5])
+    ids, tags = [rng.integers(0, v, counts.sum()) for _ in range(2)], rng.random(counts.sum()) < 0.4
+    features = [(0, ids[0]), (0, ids[1]), (1, rng.integers(0, v, counts.sum())), (2, rng.integers(0, v, counts.sum()))]
+    ends = np.cumsum(counts)
+    texts = [slice(e - n, e) for n, e in zip(counts, ends)]
+    seen = np.zeros((2, 2))
+    for t in texts:
+        for i, j in zip([False, *tags[t][:-1]], tags[t]):
+            seen[int(i), int(j)] += 1
+
+    def likelihood(theta):
+        weights, moves, total = theta[: 3 * v].reshape(3, v), theta[-4:].reshape(2, 2), 0.0
+        emit = sum(weights[k][x] for k, x in features) + theta[3 * v]
+        for t in texts:
+            score = lambda y: sum(emit[t][i] * y[i] + moves[y[i - 1] if i else 0, y[i]] for i in range(len(y)))  # noqa: B023, E731
+            every = [score(y) for y in itertools.product((0, 1), repeat=t.stop - t.start)]
+            total += score(tags[t].astype(int)) - np.log(np.exp(every).sum())
+        return total
+
+    theta = rng.normal(0, 0.7, 3 * v + 5)
+    got = toxicity.gradient(theta, [(features, tags, toxicity.Layout(counts))], seen, v)
+    step = 1e-5 * np.eye(len(theta))
+    want = [(likelihood(theta + d) - likelihood(theta - d)) / 2e-5 for d in step]
+    assert np.allclose(got, want, atol=1e-6)
+
+
 def test_toxicity_on_held_out_documents(spark):
     texts, labels, bad = toxic_corpus(spark)
     docs = docs_of(spark, texts)
@@ -293,6 +324,14 @@ def test_bpe_is_that_of_the_public_coder(spark, coder, head):
     assert bpe.encoded(docs.limit(0)).isEmpty()
 
 
+def test_bpe_of_long_pieces(spark, coder):
+    """Runs without a blank of 64 KB and 1 MB: of one sign, of few signs, of letters and of base 64."""
+    rng = random.Random(3)
+    texts = ["a" * 1_000_000, "-=" * 32_000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1 << 16)), "".join(rng.choices("ab", k=3_000)), base64.b64encode(rng.randbytes(750_000)).decode()]
+    for r in bpe.encoded(docs_of(spark, texts)).collect():
+        assert r.decoded == texts[r.doc_id] and r.ids == coder.encode_ordinary(texts[r.doc_id])
+
+
 def test_bpe_over_documents(documents, coder):
     texts = {r.doc_id: r.text for r in documents.collect()}
     rows = bpe.encoded(documents).collect()
@@ -337,9 +376,12 @@ def test_packing_restores_documents(spark, coder, length, buffer):
 
 
 def test_packing_edges(spark):
-    docs = docs_of(spark, [None, "a", "a"], [1, None, None])
-    rows = packing.pack(docs, length=8).collect()
-    assert [x for r in rows for x in r.doc_ids] == [None, None]
+    docs = docs_of(spark, [None, "a", "a", "hello world", "hello"], [1, None, None, 7, 7])
+    packed = packing.pack(docs, length=8).cache()
+    assert sorted((x for r in packed.collect() for x in r.doc_ids), key=str) == [7, 7, None, None]
+    assert sorted(((r.doc_id, r.ids) for r in packing.unpack(packed).collect()), key=str) == [(7, [31373, 995]), (7, [31373]), (None, [64]), (None, [64])]
+    with pytest.raises(Exception, match="ask for wide"):
+        packing.as_binary(packed.select("row_id", F.transform("ids", lambda x: x + 50_000).alias("ids"))).collect()
     assert packing.pack(docs.limit(0)).isEmpty()
 
 
@@ -388,3 +430,23 @@ def test_pipeline_stages_against_brute_force(spark, coder, tmp_path):
     last = through("bpe", fourth)
     rows = last.collect()
     assert texts(last) == texts(fourth) and all(r.tokens == coder.encode_ordinary(r.text) and r.n_tokens == len(r.tokens) for r in rows)
+
+
+def test_pipeline_runs_whole_and_on_odd_tables(spark, coder, tmp_path):
+    """run() over nulls, empty and repeated texts and clashing columns, and over an empty table."""
+    words = [f"w{i}" for i in range(400)]
+    rng = random.Random(8)
+    own = [" ".join(rng.choices(words, k=60)) for _ in range(4)]
+    rows = [(i, t, "x", "k", 1) for i, t in enumerate([*own, own[0], None, "", own[1] + " more", LONG])] + [(0, own[0], "x", "k", 1)]
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tokens string, TW_gone string, n_chars int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "text", "tokens", "TW_gone", "n_chars", "_tokens", "n_tokens"]
+    found = {r.doc_id: r for r in got.collect()}
+    # 4 and 7 are copies; line dedup leaves nothing of 4, and one line of each other text.
+    assert sorted(found) == [0, 1, 2, 3, 5, 6, 8] and found[5].text is None and found[6].text == "" and found[8].text == LONG
+    assert all(r.text is None or r._tokens == coder.encode_ordinary(r.text) for r in found.values())
+    docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
