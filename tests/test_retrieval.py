@@ -237,3 +237,13 @@ def test_stored_bounds_answer_alike(spark, tmp_path):
     lines = spark.createDataFrame([("1:a b",), ("2:c",), ("3:nothing",)], "query string")
     found = [sorted(tuple(r) for r in tools.answer(spark, str(tmp_path / "ix"), lines, Analyzer(), name).selectExpr("qid", "doc_id", "round(score, 6)", "rank").collect()) for name in ("ranked_or", "wand", "maxscore", "block_max_wand")]
     assert len(found[0]) == 20 and all(f == found[0] for f in found)
+
+
+def test_long_lists_are_cut_by_ranges_alike(spark, made, monkeypatch):
+    index, _, postings, _ = made
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    blocks, gap = rows(ix.fixed_blocks(postings, 7)), reorder.log_gap(index.postings).first().log_gap
+    monkeypatch.setattr(ix, "PART", 16)
+    monkeypatch.setattr(reorder, "PART", 16)
+    assert rows(ix.fixed_blocks(postings, 7)) == blocks
+    assert math.isclose(reorder.log_gap(index.postings).first().log_gap, gap)

@@ -17,6 +17,8 @@ from ..functions.text import Analyzer
 from ..storage import checkpointed
 
 RANGE = 128
+#: Document ids of a part of a posting list that one task may sort.
+PART = 1 << 20
 
 
 @dataclass
@@ -144,13 +146,24 @@ def quantize(postings: DataFrame, bits: int = 8) -> DataFrame:
     return postings.crossJoin(F.broadcast(most)).withColumn("value", scoring.quantize(F.col("score"), F.col("most"), bits)).drop("most")
 
 
+def _placed(postings: DataFrame) -> DataFrame:
+    """postings with part, a range of document ids, and at, the posting's place in its list from 1.
+
+    Lists are numbered part by part and offset by what the parts before hold, so no task sorts a whole long list.
+    """
+    parted = postings.withColumn("part", F.floor(F.col("doc_id") / PART).cast("bigint"))
+    before = F.sum("own").over(Window.partitionBy("term").orderBy("part")) - F.col("own")
+    offsets = parted.groupBy("term", "part").agg(F.count("*").alias("own")).select("term", "part", before.alias("before"))
+    own = F.row_number().over(Window.partitionBy("term", "part").orderBy("doc_id"))
+    return parted.withColumn("at", own).join(offsets, ["term", "part"]).withColumn("at", F.col("at") + F.col("before")).drop("before")
+
+
 def fixed_blocks(postings: DataFrame, size: int = 128) -> DataFrame:
     """(term, block, first_doc, last_doc, n, max_score) for runs of so many postings by doc_id.
 
     A block's last document is the one before the next block begins; the last block's is its own last.
     """
-    at = F.row_number().over(Window.partitionBy("term").orderBy("doc_id"))
-    return _bounded(postings.withColumn("block", F.floor((at - 1) / size).cast("bigint")))
+    return _bounded(_placed(postings).withColumn("block", F.floor((F.col("at") - 1) / size).cast("bigint")))
 
 
 def _bounded(blocked: DataFrame) -> DataFrame:
@@ -217,6 +230,12 @@ def range_maxima(postings: DataFrame, width: int = RANGE, least_df: int = 0) ->
 
 
 def score_bounds(postings: DataFrame, k: int = 10) -> DataFrame:
-    """(term, max_score, kth_score): the largest and the k-th largest score of each term, 0 where it has fewer."""
-    ranked = postings.withColumn("at", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score")))).filter(F.col("at") <= k)
+    """(term, max_score, kth_score): the largest and the k-th largest score of each term, 0 where it has fewer.
+
+    The k best of every sixteenth of a list come first, and the k best of those, so no task sorts a whole long list.
+    """
+    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score")))
+    parted = postings.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    some = parted.withColumn("at", best("term", "part")).filter(F.col("at") <= k).select("term", "score")
+    ranked = some.withColumn("at", best("term")).filter(F.col("at") <= k)
     return ranked.groupBy("term").agg(F.max("score").alias("max_score"), F.coalesce(F.max(F.when(F.col("at") == k, F.col("score"))), F.lit(0.0)).alias("kth_score"))
