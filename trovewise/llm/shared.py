@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,14 @@ def release(*tables: DataFrame) -> None:
     _delete(tables[0].sparkSession, [t.written_path for t in tables])
 
 
+def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """written(build()), after which the tables that build wrote on the way are deleted."""
+    before = set(_written)
+    out = written(build(), name)
+    _delete(out.sparkSession, [p for p in _written - before if p != out.written_path])
+    return out
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables that written() made in this process; results that still read them become unusable."""
     _delete(spark, list(_written))
