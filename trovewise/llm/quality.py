@@ -4,7 +4,7 @@ Each rule looks at one property of the text and votes good (1), bad (0) or absta
 pattern, at most 3 to the number of rules, whatever the corpus. From the patterns, expectation maximisation estimates
 every rule's rates of voting good and bad among good and among bad documents, and the share of good documents,
 starting from the majority. A document's posterior probability of being good is a sum of its votes' log weights, as a
-Spark expression: one pass counts, one pass scores, and nothing but the patterns is shuffled.
+Spark expression over the votes, which one pass over the texts writes. Nothing but the patterns is shuffled.
 
 Defined cases: a null text has the votes of the empty one; rules about words abstain without words. Repeated rows
 count as often as they occur. No rows, no result. Other columns pass through or are not read.
@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh
+from .shared import fresh, written
 
 ROUNDS, SMOOTH = 20, 1.0
 WORD = r"[^ \t\r\n]+"
@@ -95,33 +95,35 @@ def estimate(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = R
     return prior, weights
 
 
-def _posterior(docs: DataFrame, name: str, prefix: str) -> DataFrame:
-    voted = votes(docs, prefix)
-    rules = [f"{prefix}{k}" for k in RULES]
-    patterns = [(tuple(r[:-1]), r[-1]) for r in votes(docs.select("text")).groupBy(*RULES).count().collect()]
-    if not patterns:
+def _weighed(voted: DataFrame, patterns: DataFrame, name: str, prefix: str) -> DataFrame:
+    """voted, which has a column of each rule behind a prefix, with the posterior that patterns (of votes without it) give."""
+    counts = [(tuple(r[:-1]), r[-1]) for r in patterns.groupBy(*RULES).count().collect()]
+    if not counts:
         return voted.withColumn(name, F.lit(None).cast("double"))
-    prior, weights = estimate(sorted(patterns, key=str))
+    prior, weights = estimate(sorted(counts, key=str))
     odds = F.lit(prior)
-    for rule, w in zip(rules, weights):
-        odds = odds + F.when(F.col(rule) == 1, w[1]).when(F.col(rule) == 0, w[0]).otherwise(0.0)
+    for k, w in zip(RULES, weights):
+        odds = odds + F.when(F.col(f"{prefix}{k}") == 1, w[1]).when(F.col(f"{prefix}{k}") == 0, w[0]).otherwise(0.0)
     return voted.withColumn(name, 1 / (1 + F.exp(-odds)))
 
 
 def quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """(doc_id, votes_good, votes_bad, posterior, keep) of every document."""
-    out = _posterior(docs.select("doc_id", "text"), "tw_posterior", "tw_")
-    count = lambda v: sum((F.coalesce((F.col(f"tw_{k}") == v).cast("bigint"), F.lit(0)) for k in RULES), F.lit(0).cast("bigint"))
+    """(doc_id, votes_good, votes_bad, posterior, keep) of every document; texts are read once, their votes are written."""
+    cast = votes(docs.select("doc_id", "text")).select("doc_id", *[F.col(k).cast("tinyint").alias(k) for k in RULES])
+    cast = written(cast.toDF("doc_id", *RULES), "votes")
+    out = _weighed(cast, cast, "tw_posterior", "")
+    count = lambda v: sum((F.coalesce((F.col(k) == v).cast("bigint"), F.lit(0)) for k in RULES), F.lit(0).cast("bigint"))
     return out.select("doc_id", count(1).alias("votes_good"), count(0).alias("votes_bad"), F.round("tw_posterior", 6).alias("posterior"), (F.col("tw_posterior") >= least).alias("keep"))
 
 
 def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs whose posterior reaches least."""
+    """docs whose posterior reaches least; texts are read twice, to count and to filter, and nothing but patterns moves."""
     (name,) = fresh(docs, "tw_posterior")
     prefix = "tw_"
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix = f"_{prefix}"
-    return _posterior(docs, name, prefix).filter(F.col(name) >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = _weighed(votes(docs, prefix), votes(docs.select("text")), name, prefix)
+    return out.filter(F.col(name) >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle() -> str:
