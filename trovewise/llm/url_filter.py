@@ -15,9 +15,13 @@ and count as good from one half. Without any outcome the prior mean is one half.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 _TWO = r"(?:ac|co|com|edu|gov|net|org)\.[a-z]{2}"
 SUFFIX = rf"(?:^|\.)({_TWO}|[^.]+)$"
@@ -25,12 +29,23 @@ DOMAIN = rf"([^.]+\.(?:{_TWO}|[^.]+))$"
 DOC_ID = r"://[^/?#]+/[a-z]{2}/([0-9]{1,18})(?:[^0-9]|$)"
 
 
-def names(url: Column) -> dict[str, Column]:
-    """host, domain and suffix of a url."""
+def names(url: Column, suffixes: Sequence[str] | None = None) -> dict[str, Column]:
+    """host, domain and suffix of a url.
+
+    suffixes are the public suffixes of two labels and more, such as co.uk or github.io, of which the longest counts;
+    without them the customary second levels (ac.xx, co.xx and so on) stand in. Any last label is a suffix.
+    """
     host = F.rtrim(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1)), F.lit("."))
     number = host.rlike(r"^[0-9.]+$")
-    domain = F.regexp_extract(host, DOMAIN, 1)
-    return {"host": host, "domain": F.when(number | (domain == ""), host).otherwise(domain), "suffix": F.when(number, "ip").otherwise(F.regexp_extract(host, SUFFIX, 1))}
+    domain, suffix = F.regexp_extract(host, DOMAIN, 1), F.regexp_extract(host, SUFFIX, 1)
+    if suffixes is not None:
+        labels, n = F.split(host, r"\."), lambda k: F.least(F.lit(k), F.size(F.split(host, r"\.")))
+        last = lambda k: F.array_join(F.slice(labels, F.size(labels) - n(k) + 1, n(k)), ".")
+        suffix, domain = last(1), last(2)
+        for k in sorted({x.count(".") + 1 for x in suffixes} - {1}):
+            own = last(k).isin([x for x in suffixes if x.count(".") + 1 == k])
+            suffix, domain = F.when(own, last(k)).otherwise(suffix), F.when(own, last(k + 1)).otherwise(domain)
+    return {"host": host, "domain": F.when(number | (domain == ""), host).otherwise(domain), "suffix": F.when(number, "ip").otherwise(suffix)}
 
 
 def _shrunk(units: DataFrame, weakest: float, strongest: float) -> DataFrame:
@@ -41,21 +56,23 @@ def _shrunk(units: DataFrame, weakest: float, strongest: float) -> DataFrame:
     return units.crossJoin(F.broadcast(rho)).withColumn("kappa", 1 / F.col("rho") - 1).drop("rho")
 
 
-def reputation(pages: DataFrame, labels: DataFrame, id_pattern: str = DOC_ID, outcome: str = "quality", weakest: float = 1.0, strongest: float = 1000.0) -> DataFrame:
+def reputation(pages: DataFrame, labels: DataFrame, id_pattern: str = DOC_ID, outcome: str = "quality", weakest: float = 1.0, strongest: float = 1000.0, suffixes: Sequence[str] | None = None) -> DataFrame:
     """(host, domain, suffix, pages, n, s, a, b): posterior beta(a, b) of every host; n of its pages are labelled, s of them good.
 
     A page's label is that of the document whose id the url holds.
     """
     from_url = F.regexp_extract(F.coalesce("url", F.lit("")), id_pattern, 1)
-    own = pages.select(*[c.alias(k) for k, c in names(F.col("url")).items()], F.when(from_url != "", from_url.cast("bigint")).alias("id"))
+    own = pages.select(*[c.alias(k) for k, c in names(F.col("url"), suffixes).items()], F.when(from_url != "", from_url.cast("bigint")).alias("id"))
     good = labels.filter(F.col(outcome).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("id")).agg((F.avg(outcome) >= 0.5).cast("bigint").alias("good"))
     hosts = own.join(good, "id", "left").groupBy("host", "domain", "suffix").agg(F.count("*").alias("pages"), F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("s"))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    every = suffixes.agg(((F.coalesce(F.sum("s"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("p"))
+    hosts = written(hosts, "hosts")  # every level above is read from these counts
+    domains = written(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "domains")
+    top = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    top = written(top, "suffixes")
+    every = top.agg(((F.coalesce(F.sum("s"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("p"))
     mean = (F.col("s") + F.col("kappa") * F.col("p")) / (F.col("n") + F.col("kappa"))
-    suffixes = _shrunk(suffixes.crossJoin(F.broadcast(every)), weakest, strongest).select("suffix", mean.alias("p"))
-    domains = _shrunk(domains.join(suffixes, "suffix"), weakest, strongest).select("domain", "suffix", mean.alias("p"))
+    top = _shrunk(top.crossJoin(F.broadcast(every)), weakest, strongest).select("suffix", mean.alias("p"))
+    domains = _shrunk(domains.join(top, "suffix"), weakest, strongest).select("domain", "suffix", mean.alias("p"))
     hosts = _shrunk(hosts.join(domains, ["domain", "suffix"]), weakest, strongest)
     return hosts.select("host", "domain", "suffix", "pages", "n", "s", (F.col("s") + F.col("kappa") * F.col("p")).alias("a"), (F.col("n") - F.col("s") + F.col("kappa") * (1 - F.col("p"))).alias("b"))
 
