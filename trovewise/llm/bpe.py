@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pieces, words
-from .shared import fresh, written
+from .shared import batches, fresh, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 NONE = 2**31 - 1
@@ -284,6 +284,7 @@ def encode(docs: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY, head
     """docs and one more column, the token ids of text."""
     ranks, folds = read_ranks(vocabulary), Folds(vocabulary)
     seam = seams(ranks)
+    batches(docs.sparkSession)
     words.trim()
     counts = written(piece_counts(docs, seam), "pieces")
     table = _head(counts, folds, head, long_piece, np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.int32)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import written
+from .shared import batches, written
 
 
 #: Texts of so many bytes share the rows of their rare words.
@@ -383,6 +383,7 @@ def classed(docs: DataFrame, classes: int = 64, sweeps: int = 8, head: int = 409
 
 def perplexity(docs: DataFrame, vocabulary: int | None = None, classes: int = 64, sweeps: int = 8, alpha: float = 0.1, head: int = 4096) -> DataFrame:
     """(doc_id, n_words, log_prob, perplexity) of every document under the model of all of them, of every word unless vocabulary bounds them."""
+    batches(docs.sparkSession, 4000, "16m")  # a chunk is no larger than a batch, and rare words move once for each chunk
     share = docs.sparkSession.sparkContext.broadcast
     out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, log_prob double, perplexity double"
     if vocabulary is not None:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .shared import fresh
+from .shared import batches, fresh
 
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
@@ -192,6 +192,7 @@ _SPANS = T.ArrayType(T.StructType([T.StructField(x, T.IntegerType()) for x in ("
 def _scan(docs: DataFrame, benchmark: DataFrame, spans: str, text: str, item_text: str, max_words: int, coverage: float, least_words: int, automaton_words: int) -> DataFrame:
     """docs with the runs cut out, and the array of the runs in one more column."""
     sc = docs.sparkSession.sparkContext
+    batches(docs.sparkSession)
     shared = [sc.broadcast(_model(part, least_words, coverage)) for part in _items(benchmark, item_text, least_words, automaton_words)]
     schema = T.StructType([*docs.schema.fields, T.StructField(spans, _SPANS)])
     if not shared:

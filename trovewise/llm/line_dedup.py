@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .shared import fresh, release, row_key, written
+from .shared import batches, fresh, release, row_key, written
 
 HASHES, BLOCK_BYTES, BROADCAST_BYTES = 4, 1 << 13, 1 << 26
 
@@ -148,6 +148,7 @@ def _suspected(shared, place: str):
 def repeated_lines(docs: DataFrame, bits: int = 16, max_bits: int = 1 << 31) -> tuple[DataFrame, Broadcast]:
     """(uid, line_nos): the lines of each document that occur before; and the twice-seen filter."""
     spark = docs.sparkSession
+    batches(spark)
     own = docs.select(row_key().alias("uid"), "doc_id", "text")
     lines = docs.select(F.sum(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n")).first().n or 0
     size = 1 << 20

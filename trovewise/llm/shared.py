@@ -30,6 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+    """Let Arrow batches of the session's further plans have so many rows and bytes at most: executor and worker both hold one."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession

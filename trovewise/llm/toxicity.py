@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from . import words
 from .near_dedup import grams
-from .shared import fresh
+from .shared import batches, fresh
 
 SEGMENT, _FILTER_BITS, PREFIXES, FLOOR = 64, 22, (4, 5, 6, 7), 0.1
 
@@ -366,6 +366,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[list[str | No
 def _tagged(docs: DataFrame, labels: DataFrame, score: str, spans: str, threshold: float, rows: int) -> DataFrame:
     model = fit(*sample(docs, labels, rows))
     words.trim()
+    batches(docs.sparkSession)
     if model is None:
         return docs.withColumn(score, F.lit(0.0)).withColumn(spans, F.array().cast(_SPANS))
     shared = docs.sparkSession.sparkContext.broadcast(model)

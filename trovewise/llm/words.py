@@ -14,9 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -35,7 +34,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """base ** (0 .. n-1) modulo 2 ** 64, kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        step = np.full((n // (1 << 19) + 1 << 19) + 1, base, np.uint64)
+        step = np.full((n // (1 << 18) + 1 << 18) + 1, base, np.uint64)
         step[0] = 1
         have = _powers[base] = np.cumprod(step, dtype=np.uint64)
     return have[:n]
@@ -80,17 +79,11 @@ def trim() -> None:
     _process["libc"](0)
 
 
-def _lean() -> None:
-    """What a worker's last task held goes back to the system when the next begins: many share an executor's memory."""
-    task = TaskContext.get()
-    if task is not None and _process.get("task") != task.taskAttemptId():
-        _process["task"] = task.taskAttemptId()
-        trim()
-
-
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most limit bytes each, one row at least; a text is never cut."""
-    _lean()
+    """Row ranges of at most limit bytes each, one row at least; a text is never cut.
+
+    After the last one, what the ranges took goes back to the system: many workers, also idle ones, share an executor's memory.
+    """
     lengths = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     start, total = 0, 0
     for i, n in enumerate(lengths):
@@ -100,6 +93,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         total += n
     if start < len(lengths):
         yield start, len(lengths)
+    trim()
 
 
 @dataclass
