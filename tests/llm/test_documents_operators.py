@@ -79,6 +79,17 @@ def test_near_duplicates_against_all_pairs(spark, leaf):
     assert all(want[i] == want[got[i]] for i in range(len(texts)))
 
 
+def test_near_duplicates_lose_no_pair_at_the_threshold(spark):
+    """Pairs whose similarity is the threshold itself are groups, and those just below it are none."""
+    texts = []
+    for g in range(1200):
+        base = [f"g{g}w{k}" for k in range(65)]
+        cut = 21 if g % 6 else 22  # of 63 grams each, 42 of 84 and 41 of 85 are common
+        texts += [" ".join(base), " ".join([*base[:-cut], *(f"g{g}n{k}" for k in range(cut))])]
+    got = {r.doc_id: r.group_id for r in near_dedup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == {i: i - 1 if i % 2 and i // 2 % 6 else i for i in range(len(texts))}
+
+
 def test_near_duplicates_of_large_groups(spark, monkeypatch):
     """Work on a group of near copies grows as the group: with twice as many documents about twice as many rows are compared."""
     rng = random.Random(5)

@@ -1,52 +1,39 @@
-"""MinHash near-duplicate groups by a chosen-path set similarity join.
-
-A document is the set of its word 3-grams (all its words as one gram if it has fewer than three). Each tree branches
-the documents of a node by a few coordinates that the node selects: a document goes to the child named by the
-coordinate and the document's minimum under it. Nodes of at most `leaf` documents are compared exhaustively; larger
-ones branch again. Independent trees repeat this until the expected recall reaches `recall` at the threshold, at any
-depth.
-
-Copies of a text would stay together in every branch, so a large node is contracted first: its documents are compared
-exhaustively in random blocks of about `block`, and one that is as similar as `copies` to another of its block which
-stands for it (as the threshold and `margin`, beyond `settled` levels) is linked with that one and leaves the node. A
-node that is halved by this is contracted again, any other branches. So every document of a group of copies is
-compared with about `block` others a time, and the work grows with the number of documents, not with its square.
-
-Pairs are compared by 128 minima, kept as bytes. Estimates within `margin` of the threshold are settled by the exact
-Jaccard similarity of the gram sets. Groups are the connected components.
-
-Defined cases: identical rows count once; a null or wordless text is a group of its own; documents with equal word
-sequences are one group without comparing; a null doc_id is an id like any other and comes last in its group;
-of equal doc_ids with different texts each is a document. Other columns are not read.
+"""Near-duplicate groups by an exact set similarity join.
+
+A document is the set of its word 3-grams (all its words as one gram if it has fewer than three). Two are linked if the
+Jaccard similarity of their sets reaches the threshold, and groups are the connected components of all links: no link
+between documents of two groups is left out, and none is made that an exact comparison has not confirmed.
+
+1. A document that has a partner shares with others at least the threshold's part of its grams. Grams are counted by
+   ranges of their hashes, 4 bytes a gram, and the documents that share too few are done.
+2. Of the others, documents of equal sets are one. A prefix of each set, in any one order of all grams, holds a gram of
+   the prefix of every partner. The order has grams first that are rare in a sample; it decides only how long lists are.
+3. The documents of a prefix gram are a list, equal lists count once. While a list of more than `leaf` documents has
+   several groups, each is compared with one other, the centre of its block of about `block` groups of the list, and
+   those that are confirmed merge. So a group of near copies takes a multiple of its size, not its square.
+4. All pairs of documents of different groups that remain in any list are compared, a few of any two groups first.
+
+A pair is compared by marks of its grams first, which show that most pairs can't reach the threshold.
+
+Defined cases: identical rows count once; a null or wordless text is a group of its own; documents with equal sets are
+one group without comparing; a null doc_id is an id like any other and comes last in its group; of equal doc_ids with
+different texts each is a document. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
 from .shared import batches, fresh, release, row_key, written
 
-COORDINATES, GRAM = 128, 3
-OPEN, SURE, STAY = range(3)
-
-
-def survival(threshold: float, branches: int) -> float:
-    """Chance that a pair at the threshold meets in a node of a tree, however deep."""
-    chance = 1.0
-    for _ in range(100):
-        chance = 1 - (1 - threshold * chance) ** branches
-    return chance
-
-
-def trees_for(recall: float, threshold: float, branches: int) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, branches))))
+GRAM, BITS = 3, 2048
 
 
 def grams(w: words.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -63,169 +50,198 @@ def grams(w: words.Words) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seeds = np.random.default_rng(20240607).integers(1, 1 << 32, (2, COORDINATES), dtype=np.uint32)
-    scale, shift = seeds[0] | np.uint32(1), seeds[1]
+def gram_sets(w: words.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's different 3-grams in order of their hashes, and their offsets by text."""
+    all_, offsets = grams(w)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    order = np.lexsort((all_, text))
+    all_, text = all_[order], text[order]
+    own = np.ones(len(all_), bool)
+    own[1:] = (all_[1:] != all_[:-1]) | (text[1:] != text[:-1])
+    return all_[own], np.searchsorted(text[own], np.arange(len(offsets)))
+
+
+def _parcels(ranges: int):
+    """Of each chunk of texts the low halves of its grams' hashes by range of the high ones, and once what is to be known of its documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            texts = batch.column("text")
+            uids = batch.column("uid").to_numpy()
+            for a, b in words.chunks(texts):
+                sets, offsets = gram_sets(words.split(texts.slice(a, b - a)))
+                sizes = np.diff(offsets)
+                have = np.flatnonzero(sizes)
+                if not len(have):
+                    continue
+                chunk += 1
+                whole = words.mix(np.add.reduceat(words.mix(sets), offsets[:-1][have]) + sizes[have].astype(np.uint64))
+                about = np.stack([uids[a:b][have], whole.view(np.int64), sizes[have]])
+                part = ((sets >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                text = np.repeat(np.arange(len(have)), sizes[have])
+                order = np.argsort(part, kind="stable")
+                edges = np.searchsorted(part[order], np.arange(ranges + 1))
+                low, text = sets[order].astype(np.uint32), text[order]
+                some = np.flatnonzero(np.diff(edges))
+                counts = [np.bincount(text[edges[k] : edges[k + 1]], minlength=len(have)).astype(np.uint32).tobytes() for k in some]
+                yield pa.record_batch(
+                    {
+                        "part": pa.array(np.append(some, chunk % ranges).astype(np.int32)),
+                        "chunk": pa.array(np.full(len(some) + 1, chunk)),
+                        "counts": pa.array([*counts, None], pa.binary()),
+                        "grams": pa.array([*(low[edges[k] : edges[k + 1]].tobytes() for k in some), about.tobytes()], pa.binary()),
+                    }
+                )
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str, rows: int = 10_000) -> Iterator[pa.Table]:
+    """Tables of all rows of some keys; rows arrive in order of the key, though batches may cut them."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest.append(batch)
+        if sum(x.num_rows for x in rest) < rows or (rest[0].column(key)[0] == batch.column(key)[-1]):
+            continue
+        table = pa.Table.from_batches(rest)
+        keys = table[key].to_numpy()
+        cut = len(keys) - int((keys == keys[-1]).sum())
+        yield table.slice(0, cut)
+        rest = table.slice(cut).to_batches()
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each parcel, how many grams of each document occur in another one; a range of hashes is in memory at a time."""
+    for table in _runs(batches, "part", 1):
+        about = table.filter(table["counts"].is_null())
+        if about.num_rows:
+            yield from about.select(["chunk", "grams"]).append_column("about", pa.array(np.ones(about.num_rows, bool))).to_batches()
+        table = table.filter(table["counts"].is_valid())
+        part = table["part"].to_numpy()
+        edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else []
+        for x, y in zip(edges[:-1], edges[1:]):
+            own = table.slice(x, y - x)
+            counts = [np.frombuffer(c, np.uint32) for c in own["counts"].to_pylist()]
+            grams_ = np.concatenate([np.frombuffer(g, np.uint32) for g in own["grams"].to_pylist()])
+            slot = np.repeat(np.arange(sum(map(len, counts))), np.concatenate(counts))
+            order = np.argsort(grams_)
+            again = np.diff(grams_[order]) == 0
+            twice = np.append(again, False) | np.append(False, again)
+            many = np.bincount(slot[order[twice]], minlength=sum(map(len, counts))).astype(np.uint32)
+            ends = np.cumsum([len(c) for c in counts])
+            yield pa.record_batch({"chunk": own["chunk"].combine_chunks(), "grams": pa.array([many[e - len(c) : e].tobytes() for e, c in zip(ends, counts)], pa.binary()), "about": pa.array(np.zeros(len(counts), bool))})
+        words.trim()
+
+
+def _suspects(threshold: float):
+    """(uid, whole, suspect) of each document with words: a hash of its set, and whether it shares enough to have a partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, "chunk"):
+            about, total = {}, {}
+            for chunk, data, is_about in zip(*(table[k].to_pylist() for k in ("chunk", "grams", "about"))):
+                if is_about:
+                    about[chunk] = np.frombuffer(data, np.int64).reshape(3, -1)
+                else:
+                    total[chunk] = total.get(chunk, 0) + np.frombuffer(data, np.uint32).astype(np.int64)
+            for chunk, (uid, whole, size) in about.items():
+                yield pa.record_batch({"uid": pa.array(uid), "whole": pa.array(whole), "suspect": pa.array(total[chunk] >= threshold * size)})
+
+    return run
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
         for a, b in words.chunks(texts):
-            w = words.split(texts.slice(a, b - a))
-            sets, offsets = grams(w)
-            have = np.flatnonzero(np.diff(offsets))
-            if not len(have):
-                continue
-            small = (sets >> np.uint64(32)).astype(np.uint32)
-            first, minima = offsets[:-1][have], np.empty((len(have), COORDINATES), np.uint32)
-            for k in range(COORDINATES):
-                minima[:, k] = np.minimum.reduceat(small * scale[k] + shift[k], first)
-            place = np.arange(len(w.hashes)) - np.repeat(w.offsets[:-1], w.counts)
-            whole = np.add.reduceat(w.hashes * words._power(words._BASE, int(w.counts.max()))[place], w.offsets[:-1][have])
-            whole = words.mix(whole + w.counts[have].astype(np.uint64))
-            flat = words.mix(minima.ravel().astype(np.uint64)).astype(np.uint8)
-            ends = np.arange(0, len(flat) + 1, COORDINATES, dtype=np.int32)
+            own, offsets = gram_sets(words.split(texts.slice(a, b - a)))
+            marks = np.zeros((b - a, BITS), bool)
+            marks[np.repeat(np.arange(b - a), np.diff(offsets)), (own % np.uint64(BITS)).astype(np.int64)] = True
             yield pa.record_batch(
                 {
-                    "uid": batch.column("uid").slice(a, b - a).take(pa.array(have)),
-                    "doc_id": batch.column("doc_id").slice(a, b - a).take(pa.array(have)),
-                    "whole": pa.array(whole.view(np.int64)),
-                    "minima": pa.ListArray.from_arrays(pa.array(ends), pa.array(minima.ravel().view(np.int32))),
-                    "sketch": pa.Array.from_buffers(pa.binary(), len(have), [None, pa.py_buffer(ends), pa.py_buffer(flat)]),
+                    "uid": batch.column("uid").slice(a, b - a),
+                    "grams": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(own.view(np.int64))),
+                    "marks": pa.array([m.tobytes() for m in np.packbits(marks, 1)], pa.binary()),
                 }
             )
 
 
-def _label(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least member of each of n members' connected component."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if np.array_equal(label, before):
-            return label
-
-
-def _pairs(sizes: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs within consecutive groups, and their estimated Jaccard similarity, freed of the bytes that agree by chance."""
-    starts = np.cumsum(sizes) - sizes
-    left, right, agree = [], [], []
-    for size in np.unique(sizes):
-        i, j = np.triu_indices(size, 1)
-        at = starts[sizes == size]
-        left.append((at[:, None] + i).ravel())
-        right.append((at[:, None] + j).ravel())
-        if size < 40:
-            x, y = left[-1], right[-1]
-            agree += [(sketch[x[k : k + 50_000]] == sketch[y[k : k + 50_000]]).sum(1) for k in range(0, len(x), 50_000)]
-            continue
-        for k in at:
-            columns, count = np.ascontiguousarray(sketch[k : k + size].T), np.zeros((size, size), np.uint8)
-            for c in columns:
-                count += c[:, None] == c
-            agree.append(count[i, j])
-    near = np.concatenate(agree) / COORDINATES if agree else np.zeros(0)
-    return np.concatenate(left), np.concatenate(right), (near - 1 / 256) * (256 / 255)
-
-
-def _leaders(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of n members, those that stand for all: the first of each, then every one that is no pair with one before that stands."""
-    beside = np.zeros((n, n), bool)
-    beside[a, b] = beside[b, a] = True
-    covered, stand = np.zeros(n, bool), np.zeros(n, bool)
-    for i in range(n):
-        if not covered[i]:
-            stand[i] = True
-            covered |= beside[i]
-    return np.flatnonzero(stand)
-
-
-def _compare(low: float, high: float, alike: float | None = None):
-    """Compares all documents of each block; blocks arrive whole and in order, though batches may cut them.
-
-    Rows (node, a, b, kind): SURE pairs, as a forest of the block's groups, and OPEN ones between these. With alike, also
-    the documents of each block that STAY (as a) in the node, when each of those as similar to one of them leaves it.
-    """
+def _possible(threshold: float):
+    """The pairs that may reach the threshold: a mark that only one set has is a gram that only it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BITS // 8) for k in ("x", "y"))
+            m, n = (batch.column(k).to_numpy().astype(np.int64) for k in ("m", "n"))
+            most = np.minimum(m - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+            yield batch.select(["a", "b"]).filter(pa.array(most >= threshold * (m + n - most)))
 
-    def block(size: np.ndarray, node: np.ndarray, uid: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
-        a, b, near = _pairs(size, sketch)
-        sure = near >= high
-        label = _label(len(node), a[sure], b[sure])
-        member = np.flatnonzero(label != np.arange(len(node)))
-        open_ = (near >= low) & ~sure & (label[a] != label[b])
-        left, right = np.concatenate([label[member], a[open_]]), np.concatenate([member, b[open_]])
-        x, y, kind = uid[left], uid[right], np.repeat(np.array([SURE, OPEN], np.int32), [len(member), int(open_.sum())])
-        if alike is not None:
-            ends, copies = np.cumsum(size), near >= alike
-            of, own = np.searchsorted(ends, a[copies], "right"), [a[copies], b[copies]]
-            order = np.argsort(of, kind="stable")
-            cuts = np.searchsorted(of[order], np.arange(len(size) + 1))
-            stay = np.concatenate([e - n + _leaders(n, *(k[order[x:y]] - (e - n) for k in own)) for n, e, x, y in zip(size.tolist(), ends.tolist(), cuts[:-1], cuts[1:])])
-            left, x, y = np.append(left, stay), np.append(x, uid[stay]), np.append(y, uid[stay])
-            kind = np.append(kind, np.full(len(stay), STAY, np.int32))
-        return pa.record_batch({"node": pa.array(node[left]), "a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y)), "kind": pa.array(kind)})
-
-    def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        """In ranges of blocks that make about as many pairs as one of 1,500 documents, so that memory doesn't hang on the batches."""
-        part, node, uid = (table[k].to_numpy() for k in ("part", "node", "uid"))
-        edge = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
-        size = np.diff(edge)
-        made = np.cumsum(size * (size - 1) // 2)
-        x = 0
-        while x < len(size):
-            y = max(x + 1, int(np.searchsorted(made, (made[x - 1] if x else 0) + 1_000_000, "right")))
-            rows = table.slice(edge[x], edge[y] - edge[x])
-            flat = np.frombuffer(b"".join(rows["sketch"].combine_chunks().to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            yield block(size[x:y], node[edge[x] : edge[y]], uid[edge[x] : edge[y]], flat)
-            x = y
+    return run
+
+
+def _prefixes(often: np.ndarray, count: np.ndarray, threshold: float):
+    """(gram, uid) of as many grams of each set, the rarest first, as must hold one that any partner has there too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
         for batch in batches:
-            rest.append(batch)
-            if sum(x.num_rows for x in rest) < 10_000:
-                continue
-            table = pa.Table.from_batches(rest)
-            part = table["part"].to_numpy()
-            cut = len(part) - int((part == part[-1]).sum())
-            if cut:
-                yield from blocks(table.slice(0, cut))
-            rest = table.slice(cut).to_batches()
-        if rest:
-            yield from blocks(pa.Table.from_batches(rest))
+            lists = batch.column("grams")
+            own = lists.flatten().to_numpy()
+            sizes = np.diff(np.asarray(lists.offsets))
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            rank = np.zeros(len(own), np.int64)
+            if len(often):
+                at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+                rank = np.where(often[at] == own, count[at], 0)
+            order = np.lexsort((own, rank, text))
+            first = (np.cumsum(sizes) - sizes)[text]
+            keep = order[np.arange(len(own)) - first < (sizes - np.ceil(threshold * sizes).astype(np.int64) + 1)[text]]
+            uid = batch.column("uid").to_numpy()[text[keep]]
+            for x in range(0, len(keep), 200_000):
+                yield pa.record_batch({"gram": pa.array(own[keep[x : x + 200_000]]), "uid": pa.array(uid[x : x + 200_000])})
 
     return run
 
 
-def _paths(node: Column, branches: int) -> list[Column]:
-    """The children of a node to which a document goes: its minima at the coordinates that the node selects."""
-    at = [F.pmod(F.xxhash64(node, F.lit(k)), F.lit(COORDINATES)).cast("int") for k in range(branches)]
-    return [F.xxhash64(node, F.lit(k), F.get("minima", at[k])) for k in range(branches)]
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each gram that has several; rows arrive in order of gram and uid."""
+    for table in _runs(batches, "gram"):
+        gram, uid = table["gram"].to_numpy(), table["uid"].to_numpy()
+        edges = np.append(np.flatnonzero(np.append(True, gram[1:] != gram[:-1])), len(gram))
+        many = np.diff(edges) > 1
+        if many.any():
+            kept = np.repeat(many, np.diff(edges))
+            ends = np.concatenate([[0], np.cumsum(np.diff(edges)[many])]).astype(np.int32)
+            yield pa.record_batch({"uids": pa.ListArray.from_arrays(pa.array(ends), pa.array(uid[kept]))})
 
 
-def _exact(docs: DataFrame, pairs: DataFrame, threshold: float, broadcast_rows: int) -> DataFrame:
-    """Those of the pairs whose gram sets reach the threshold.
+def _beside(sets: DataFrame, pairs: DataFrame, broadcast_rows: int, *columns: Column) -> DataFrame:
+    """Pairs of a written table with columns of both sets: x, m of a and y, n of b.
 
-    Their uids are broadcast, so that no text is shuffled, while there are at most broadcast_rows; beyond, texts move once.
+    While there are at most broadcast_rows pairs they are broadcast, so that only sets of b move to those of a.
     """
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "wanted")
-    if wanted.count() <= broadcast_rows:
-        wanted = F.broadcast(wanted)
+    by_a = pairs.select("a").distinct()
+    if pairs.count() <= broadcast_rows:
+        pairs, by_a = F.broadcast(pairs), F.broadcast(by_a)
+    right = sets.select(F.col("uid").alias("b"), *(c.alias(k) for c, k in zip(columns, "yn"))).join(pairs, "b")
+    return right.join(sets.select(F.col("uid").alias("a"), *(c.alias(k) for c, k in zip(columns, "xm"))).join(by_a, "a", "left_semi"), "a")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text")
-            for a, b in words.chunks(texts):
-                all_, offsets = grams(words.split(texts.slice(a, b - a)))
-                own = [np.unique(all_[x:y]).view(np.int64) for x, y in zip(offsets[:-1], offsets[1:])]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-                yield pa.record_batch({"uid": batch.column("uid").slice(a, b - a), "grams": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))})
 
-    known = docs.join(wanted, "uid", "left_semi").mapInArrow(sets, "uid long, grams array<long>").dropDuplicates(["uid"])
-    both = pairs.join(known.select(F.col("uid").alias("a"), F.col("grams").alias("x")), "a").join(known.select(F.col("uid").alias("b"), F.col("grams").alias("y")), "b")
+def _likely(sets: DataFrame, pairs: DataFrame, threshold: float, broadcast_rows: int) -> DataFrame:
+    """Those of the pairs that may reach the threshold by their marks; no others can."""
+    marks = _beside(sets, pairs, broadcast_rows, F.col("marks"), F.size("grams")).select("a", "b", "x", "y", "m", "n")
+    return written(marks.mapInArrow(_possible(threshold), "a long, b long"), "likely")
+
+
+def _exact(sets: DataFrame, pairs: DataFrame, threshold: float, broadcast_rows: int) -> DataFrame:
+    """Those of the pairs whose gram sets reach the threshold."""
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b")
+    reach = common >= threshold * (F.size("x") + F.size("y") - common)
+    return written(_beside(sets, pairs, broadcast_rows, F.col("grams")).filter(reach).select("a", "b"), "contracted")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -248,64 +264,100 @@ def components(edges: DataFrame) -> DataFrame:
         label = after
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.5, recall: float = 0.99, branches: int = 3, leaf: int = 1000, block: int = 400, margin: float = 0.12, copies: float = 0.85, settled: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
+def _rooted(entries: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(list, uid, root) of the lists that have documents of several groups."""
+    if known is None:
+        return entries.withColumn("root", F.col("uid"))
+    rooted = entries.join(known, "uid", "left").select("list", "uid", F.coalesce("root", "uid").alias("root"))
+    several = rooted.groupBy("list").agg((F.min("root") < F.max("root")).alias("several")).filter("several").select("list")
+    return rooted.join(several, "list")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.5, leaf: int = 2, block: int = 400, sample: int = 2000, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, uid, group_id, group_size, links, keep) for each distinct (doc_id, text): group_id is the least doc_id of
-    its group, whose first row alone is kept; links counts the documents with which it was confirmed to be similar.
+    its group, whose first row alone is kept; links counts the comparisons that confirmed it in its group, not all pairs.
 
-    The shuffles move 16 bytes a document, tree and branch; the sketches (128 bytes) follow only to nodes of two
-    documents and more. Texts never move, except the grams of pairs within margin of the threshold.
+    The shuffles move 4 bytes a gram, and of documents that share enough grams with others 16 bytes a gram of the prefix
+    and the sets of pairs to compare. Texts never move.
     """
+    spark = docs.sparkSession
     own = docs.select(row_key().alias("uid"), "doc_id", "text")
-    batches(docs.sparkSession)
-    sketches = written(own.mapInArrow(_sketches, f"uid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, whole long, minima array<int>, sketch binary"), "sketches")
-    first = written(sketches.groupBy("whole").agg(F.min("uid").alias("rep")), "first")
-    same = sketches.select("uid", "whole").join(first, "whole").filter("uid <> rep").select(F.least("uid", "rep").alias("a"), F.greatest("uid", "rep").alias("b")).distinct()
-    trees = trees_for(recall, threshold, branches)
-    top = sketches.select("uid", "whole", F.array(*[c for r in range(trees) for c in _paths(F.xxhash64(F.lit(f"tree {r}")), branches)]).alias("nodes"))
-    entries = written(top.join(first, "whole").filter("uid = rep").dropDuplicates(["uid"]).select(F.explode("nodes").alias("node"), "uid"), "entries")
-    found, level = [], 0
-    while entries is not None:
-        level += 1
-        counts = written(entries.groupBy("node").count().filter("count > 1"), "counts")
-        small = entries.join(counts.filter(F.col("count") <= leaf).select("node"), "node").withColumn("part", F.col("node"))
-        found.append(written(_compared(small, sketches, _compare(threshold - margin, threshold + margin)), "compared"))
-        large = counts.filter(F.col("count") > leaf)
-        deeper = None
-        if not large.isEmpty():
-            number = F.pmod(F.xxhash64("uid", F.lit(level)), F.ceil(F.col("count") / block))
-            parts = entries.join(large, "node").select("node", "uid", F.xxhash64("node", number).alias("part"))
-            alike = max(copies, threshold + margin) if level <= settled else threshold + margin
-            out = written(_compared(parts, sketches, _compare(threshold - margin, threshold + margin, alike)), "contracted")
-            found.append(out.filter(F.col("kind") != STAY))
-            stay = out.filter(F.col("kind") == STAY).select("node", F.col("a").alias("uid"))
-            halved = stay.groupBy("node").agg(F.count("*").alias("now")).join(large, "node").select("node", (F.col("now") * 2 <= F.col("count")).alias("halved"))
-            stay = stay.join(halved, "node")
-            down = stay.filter("not halved").join(sketches.select("uid", "minima"), "uid").select(F.explode(F.array(*_paths(F.col("node"), branches))).alias("node"), "uid")
-            deeper = written(stay.filter("halved").select("node", "uid").union(down), "entries")
-        release(entries, counts)
-        entries = deeper
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    pairs = written(pairs.groupBy("a", "b").agg((F.max("kind") == SURE).alias("sure")), "pairs")
-    sure = written(same.union(pairs.filter("sure").select("a", "b")), "sure")
-    edges, known, untried = sure, components(sure), pairs.filter("not sure").select("a", "b")
-    for last in (False, True):
-        ends = [known.select(F.col("uid").alias(k), F.col("root").alias(f"{k}_root")) for k in ("a", "b")]
-        roots = [F.coalesce(f"{k}_root", k) for k in ("a", "b")]
-        untried = untried.join(ends[0], "a", "left").join(ends[1], "b", "left")
-        untried = untried.select("a", "b", F.least(*roots).alias("p"), F.greatest(*roots).alias("q")).filter("p <> q")
-        untried = written(untried, "untried")
-        some, n = untried, untried.count()
-        if not last and n > 4 * untried.select(F.explode(F.array("a", "b"))).distinct().count():
-            # Up to four pairs of any two groups come first, which mostly settle the others.
-            some = untried.groupBy("p", "q", F.pmod(F.xxhash64("a", "b"), F.lit(4))).agg(F.min(F.struct("a", "b")).alias("p_q")).select("p_q.a", "p_q.b")
-        if n:
-            edges = written(edges.union(_exact(own, some.select("a", "b"), threshold, broadcast_rows)), "edges")
+    batches(spark)
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parcels = own.select("uid", "text").mapInArrow(_parcels(ranges), "part int, chunk long, counts binary, grams binary")
+    shared = parcels.repartitionById(ranges, F.col("part")).sortWithinPartitions("part").mapInArrow(_shared, "chunk long, grams binary, about boolean")
+    shared = shared.repartition(ranges, "chunk").sortWithinPartitions("chunk")
+    every = written(shared.mapInArrow(_suspects(threshold), "uid long, whole long, suspect boolean"), "documents")
+    first = written(every.groupBy("whole").agg(F.min("uid").alias("rep"), F.max("suspect").alias("suspect"), F.count("*").alias("n"), F.count_distinct("uid").alias("different")), "first")
+    same = every.select("uid", "whole").join(first, "whole").filter("uid <> rep").select(F.col("rep").alias("a"), F.col("uid").alias("b")).distinct()
+    edges = written(same, "edges")
+    known = None if edges.isEmpty() else components(edges)
+    suspects = first.filter("suspect").select(F.col("rep").alias("uid"))
+    if suspects.count() <= broadcast_rows:
+        suspects = F.broadcast(suspects)
+    sets = own.select("uid", "text").join(suspects, "uid", "left_semi").mapInArrow(_sets, "uid long, grams array<long>, marks binary")
+    if not first.filter("n > different").isEmpty():
+        sets = sets.dropDuplicates(["uid"])
+    sets = written(sets, "sets")
+    some = F.broadcast(sets.select("uid").orderBy(F.xxhash64("uid"), "uid").limit(sample))
+    often = sets.join(some, "uid", "left_semi").select(F.explode("grams").alias("gram")).groupBy("gram").count().filter("count > 2").orderBy(F.desc("count"), "gram").limit(20_000).orderBy("gram").collect()
+    prefixes = sets.mapInArrow(_prefixes(np.array([r["gram"] for r in often], np.int64), np.array([r["count"] for r in often], np.int64), threshold), "gram long, uid long")
+    lists = prefixes.repartition(ranges, "gram").sortWithinPartitions("gram", "uid").mapInArrow(_lists, "uids array<long>").distinct()
+    entries = written(lists.withColumn("list", F.monotonically_increasing_id()).select("list", F.explode("uids").alias("uid")), "entries")
+    tried, rounds = None, 0
+    while True:
+        rounds += 1
+        groups = _rooted(entries, known).groupBy("list", "root").agg(F.min("uid").alias("uid"))
+        sizes = groups.groupBy("list").count().filter(F.col("count") > (leaf if rounds == 1 else 1))
+        number = F.pmod(F.xxhash64("root", F.lit(rounds)), F.ceil(F.col("count") / block))
+        groups = written(groups.join(sizes, "list").select("list", number.alias("block"), "root", "uid"), "groups")
+        centres = groups.groupBy("list", "block").agg(F.min(F.struct("root", "uid")).alias("centre"))
+        star = groups.join(centres, ["list", "block"]).filter("root <> centre.root").groupBy("root", F.col("centre.root").alias("other")).agg(F.count("*").alias("n"), F.min(F.struct(F.col("centre.uid").alias("p"), F.col("uid").alias("q"))).alias("pair"))
+        star = star.select("root", "n", "other", F.least("pair.p", "pair.q").alias("a"), F.greatest("pair.p", "pair.q").alias("b"))
+        if tried is not None:
+            star = star.join(tried, ["a", "b"], "left_anti")
+        pairs = written(star.groupBy("root").agg(F.max_by(F.struct("a", "b"), F.struct("n", "other")).alias("pair")).select("pair.a", "pair.b").distinct(), "proposed")
+        release(groups)
+        n = pairs.count()
+        if not n:
+            break
+        more = _exact(sets, _likely(sets, pairs, threshold, broadcast_rows), threshold, broadcast_rows)
+        tried = pairs if tried is None else tried.union(pairs)
+        confirmed = more.count()
+        if confirmed:
+            edges = edges.union(more)
             known = components(edges)
-        if not n or some is untried:
+        if confirmed * 10 < n:
+            break
+    rooted = _rooted(entries, known).groupBy("list", "root").agg(F.collect_list("uid").alias("uids"))
+    left, right = rooted.select("list", F.col("root").alias("p"), F.col("uids").alias("x")), rooted.select("list", F.col("root").alias("q"), F.col("uids").alias("y"))
+    cross = left.join(right, "list").filter("p < q").select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    if tried is not None:
+        cross = cross.join(tried, ["a", "b"], "left_anti")
+    cross = written(cross, "cross")
+    rest = _likely(sets, cross, threshold, broadcast_rows)
+    for last in (False, True):
+        if known is not None:
+            for k in ("a", "b"):
+                rest = rest.join(known.select(F.col("uid").alias(k), F.col("root").alias(f"{k}_root")), k, "left")
+            roots = [F.coalesce(f"{k}_root", k) for k in ("a", "b")]
+            rest = rest.select("a", "b", F.least(*roots).alias("p"), F.greatest(*roots).alias("q")).filter("p <> q")
+        else:
+            rest = rest.select("a", "b", F.col("a").alias("p"), F.col("b").alias("q"))
+        rest = written(rest, "compared")
+        some = rest.select("a", "b")
+        if not last:
+            # Up to two pairs of any two groups come first, which mostly settle the others.
+            some = written(rest.groupBy("p", "q", F.pmod(F.xxhash64("a", "b"), F.lit(2))).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b"), "some")
+        if some.isEmpty():
             break
-        untried = untried.select("a", "b").join(some, ["a", "b"], "left_anti")
+        more = _exact(sets, some, threshold, broadcast_rows)
+        if not more.isEmpty():
+            edges = edges.union(more)
+            known = components(edges)
+        rest = rest.select("a", "b").join(some, ["a", "b"], "left_anti")
+    if known is None:
+        known = edges.select(F.col("a").alias("uid"), F.col("b").alias("root"))
     links = edges.distinct().select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("links"))
     every = own.select("uid", "doc_id").dropDuplicates(["uid"]).join(known.join(links, "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("uid").alias("u"))
@@ -313,11 +365,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, recall: float = 0.9
     return every.join(groups, "root").select("doc_id", "uid", F.col("first.d").alias("group_id"), "group_size", F.coalesce("links", F.lit(0)).alias("links"), (F.col("uid") == F.col("first.u")).alias("keep"))
 
 
-def _compared(entries: DataFrame, sketches: DataFrame, compare) -> DataFrame:
-    rows = entries.join(sketches.select("uid", "sketch"), "uid").select("node", "part", "uid", "sketch")
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part", "uid").mapInArrow(compare, "node long, a long, b long, kind int")
-
-
 def drop_near_duplicates(docs: DataFrame, broadcast_rows: int = 1_000_000, **how) -> DataFrame:
     """docs without the rows that near_duplicates() doesn't keep; identical rows count once. All columns stay.
 
