@@ -90,6 +90,16 @@ def test_near_duplicates_lose_no_pair_at_the_threshold(spark):
     assert got == {i: i - 1 if i % 2 and i // 2 % 6 else i for i in range(len(texts))}
 
 
+def test_near_duplicates_at_thresholds_that_have_no_exact_double(spark):
+    """55 of 100 grams is a similarity of 0.55, though 0.55 * 100 is more than 55 in doubles; 55 of 101 isn't."""
+    texts = []
+    for g in range(40):
+        base = [f"g{g}w{k}" for k in range(79)]
+        texts += [" ".join(base), " ".join([*base[:57], *(f"g{g}n{k}" for k in range(23 + g % 2))])]
+    got = {r.doc_id: r.group_id for r in near_dedup.near_duplicates(docs_of(spark, texts), threshold=0.55).collect()}
+    assert got == {i: i - 1 if i % 2 and i // 2 % 2 == 0 else i for i in range(len(texts))}
+
+
 def test_near_duplicates_of_large_groups(spark, monkeypatch):
     """Work on a group of near copies grows as the group: with twice as many documents about twice as many rows are compared."""
     rng = random.Random(5)

@@ -13,7 +13,8 @@ between documents of two groups is left out, and none is made that an exact comp
    those that are confirmed merge. So a group of near copies takes a multiple of its size, not its square.
 4. All pairs of documents of different groups that remain in any list are compared, a few of any two groups first.
 
-A pair is compared by marks of its grams first, which show that most pairs can't reach the threshold.
+A pair is compared by marks of its grams first, which show that most pairs can't reach the threshold. A similarity is a
+quotient of doubles, so that of 55 grams of 100 reaches 0.55; bounds are lower by SLACK than their products with it.
 
 Defined cases: identical rows count once; a null or wordless text is a group of its own; documents with equal sets are
 one group without comparing; a null doc_id is an id like any other and comes last in its group; of equal doc_ids with
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from . import words
 from .shared import batches, fresh, release, row_key, written
 
-GRAM, BITS = 3, 2048
+GRAM, BITS, SLACK = 3, 2048, 1 - 1e-12
 
 
 def grams(w: words.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +151,7 @@ def _suspects(threshold: float):
                 else:
                     total[chunk] = total.get(chunk, 0) + np.frombuffer(data, np.uint32).astype(np.int64)
             for chunk, (uid, whole, size) in about.items():
-                yield pa.record_batch({"uid": pa.array(uid), "whole": pa.array(whole), "suspect": pa.array(total[chunk] >= threshold * size)})
+                yield pa.record_batch({"uid": pa.array(uid), "whole": pa.array(whole), "suspect": pa.array(total[chunk] >= threshold * size * SLACK)})
 
     return run
 
@@ -179,7 +180,7 @@ def _possible(threshold: float):
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BITS // 8) for k in ("x", "y"))
             m, n = (batch.column(k).to_numpy().astype(np.int64) for k in ("m", "n"))
             most = np.minimum(m - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-            yield batch.select(["a", "b"]).filter(pa.array(most >= threshold * (m + n - most)))
+            yield batch.select(["a", "b"]).filter(pa.array(most >= threshold * (m + n - most) * SLACK))
 
     return run
 
@@ -199,7 +200,7 @@ def _prefixes(often: np.ndarray, count: np.ndarray, threshold: float):
                 rank = np.where(often[at] == own, count[at], 0)
             order = np.lexsort((own, rank, text))
             first = (np.cumsum(sizes) - sizes)[text]
-            keep = order[np.arange(len(own)) - first < (sizes - np.ceil(threshold * sizes).astype(np.int64) + 1)[text]]
+            keep = order[np.arange(len(own)) - first < (sizes - np.ceil(threshold * sizes * SLACK).astype(np.int64) + 1)[text]]
             uid = batch.column("uid").to_numpy()[text[keep]]
             for x in range(0, len(keep), 200_000):
                 yield pa.record_batch({"gram": pa.array(own[keep[x : x + 200_000]]), "uid": pa.array(uid[x : x + 200_000])})
@@ -240,7 +241,7 @@ def _likely(sets: DataFrame, pairs: DataFrame, threshold: float, broadcast_rows:
 def _exact(sets: DataFrame, pairs: DataFrame, threshold: float, broadcast_rows: int) -> DataFrame:
     """Those of the pairs whose gram sets reach the threshold."""
     common = F.size(F.array_intersect("x", "y"))
-    reach = common >= threshold * (F.size("x") + F.size("y") - common)
+    reach = common / (F.size("x") + F.size("y") - common) >= threshold
     return written(_beside(sets, pairs, broadcast_rows, F.col("grams")).filter(reach).select("a", "b"), "contracted")
 
 
