@@ -100,6 +100,23 @@ def test_near_duplicates_at_thresholds_that_have_no_exact_double(spark):
     assert got == {i: i - 1 if i % 2 and i // 2 % 2 == 0 else i for i in range(len(texts))}
 
 
+def test_near_duplicates_compare_few_that_share_common_passages(spark, monkeypatch):
+    """Documents are compared for the rarest grams they share: here two have a rare passage, and ten each a common one."""
+    n = 6000
+    texts = [" ".join(f"{name}w{k}" for name, size in ((f"o{i}", 64), (f"r{i // 2}", 12), (f"c{i % 600}", 58)) for k in range(size)) for i in range(n)]
+    rows, plain = {}, near_dedup.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    got = near_dedup.near_duplicates(docs_of(spark, texts)).collect()
+    assert len(got) == n and all(r.group_id == r.doc_id for r in got)
+    assert rows["sets"] == n and rows["cross"] <= n // 2
+
+
 def test_near_duplicates_of_large_groups(spark, monkeypatch):
     """Work on a group of near copies grows as the group: with twice as many documents about twice as many rows are compared."""
     rng = random.Random(5)

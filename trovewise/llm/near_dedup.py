@@ -7,7 +7,8 @@ between documents of two groups is left out, and none is made that an exact comp
 1. A document that has a partner shares with others at least the threshold's part of its grams. Grams are counted by
    ranges of their hashes, 4 bytes a gram, and the documents that share too few are done.
 2. Of the others, documents of equal sets are one. A prefix of each set, in any one order of all grams, holds a gram of
-   the prefix of every partner. The order has grams first that are rare in a sample; it decides only how long lists are.
+   the prefix of every partner. The order has the grams first that the fewest of them have, which ranges of hashes count
+   again and send back, 6 bytes a gram; grams that only one has make no list.
 3. The documents of a prefix gram are a list, equal lists count once. While a list of more than `leaf` documents has
    several groups, each is compared with one other, the centre of its block of about `block` groups of the list, and
    those that are confirmed merge. So a group of near copies takes a multiple of its size, not its square.
@@ -62,6 +63,25 @@ def gram_sets(w: words.Words) -> tuple[np.ndarray, np.ndarray]:
     return all_[own], np.searchsorted(text[own], np.arange(len(offsets)))
 
 
+def _parcel(ranges: int, chunk: int, about: np.ndarray, sets: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """A row for each range of hashes, with the low halves of its grams and how many each document has, and one for about."""
+    part = ((sets >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(ranges + 1))
+    low, text = sets[order].astype(np.uint32), text[order]
+    some = np.flatnonzero(np.diff(edges))
+    counts = [np.bincount(text[edges[k] : edges[k + 1]], minlength=len(sizes)).astype(np.uint32).tobytes() for k in some]
+    return pa.record_batch(
+        {
+            "part": pa.array(np.append(some, chunk % ranges).astype(np.int32)),
+            "chunk": pa.array(np.full(len(some) + 1, chunk)),
+            "counts": pa.array([*counts, None], pa.binary()),
+            "grams": pa.array([*(low[edges[k] : edges[k + 1]].tobytes() for k in some), about.tobytes()], pa.binary()),
+        }
+    )
+
+
 def _parcels(ranges: int):
     """Of each chunk of texts the low halves of its grams' hashes by range of the high ones, and once what is to be known of its documents."""
 
@@ -79,21 +99,7 @@ def _parcels(ranges: int):
                 chunk += 1
                 whole = words.mix(np.add.reduceat(words.mix(sets), offsets[:-1][have]) + sizes[have].astype(np.uint64))
                 about = np.stack([uids[a:b][have], whole.view(np.int64), sizes[have]])
-                part = ((sets >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-                text = np.repeat(np.arange(len(have)), sizes[have])
-                order = np.argsort(part, kind="stable")
-                edges = np.searchsorted(part[order], np.arange(ranges + 1))
-                low, text = sets[order].astype(np.uint32), text[order]
-                some = np.flatnonzero(np.diff(edges))
-                counts = [np.bincount(text[edges[k] : edges[k + 1]], minlength=len(have)).astype(np.uint32).tobytes() for k in some]
-                yield pa.record_batch(
-                    {
-                        "part": pa.array(np.append(some, chunk % ranges).astype(np.int32)),
-                        "chunk": pa.array(np.full(len(some) + 1, chunk)),
-                        "counts": pa.array([*counts, None], pa.binary()),
-                        "grams": pa.array([*(low[edges[k] : edges[k + 1]].tobytes() for k in some), about.tobytes()], pa.binary()),
-                    }
-                )
+                yield _parcel(ranges, chunk, about, sets, sizes[have])
 
     return run
 
@@ -185,25 +191,72 @@ def _possible(threshold: float):
     return run
 
 
-def _prefixes(often: np.ndarray, count: np.ndarray, threshold: float):
-    """(gram, uid) of as many grams of each set, the rarest first, as must hold one that any partner has there too."""
+def _set_parcels(ranges: int):
+    """As _parcels, of sets of grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
+            if not batch.num_rows:
+                continue
             lists = batch.column("grams")
-            own = lists.flatten().to_numpy()
             sizes = np.diff(np.asarray(lists.offsets))
-            text = np.repeat(np.arange(len(sizes)), sizes)
-            rank = np.zeros(len(own), np.int64)
-            if len(often):
-                at = np.minimum(np.searchsorted(often, own), len(often) - 1)
-                rank = np.where(often[at] == own, count[at], 0)
-            order = np.lexsort((own, rank, text))
-            first = (np.cumsum(sizes) - sizes)[text]
-            keep = order[np.arange(len(own)) - first < (sizes - np.ceil(threshold * sizes * SLACK).astype(np.int64) + 1)[text]]
-            uid = batch.column("uid").to_numpy()[text[keep]]
-            for x in range(0, len(keep), 200_000):
-                yield pa.record_batch({"gram": pa.array(own[keep[x : x + 200_000]]), "uid": pa.array(uid[x : x + 200_000])})
+            chunk += 1
+            yield _parcel(ranges, chunk, np.stack([batch.column("uid").to_numpy(), sizes]), lists.flatten().to_numpy().view(np.uint64), sizes)
+            words.trim()
+
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each parcel with how often each of its grams occurs in all; a range of hashes is in memory at a time."""
+    for table in _runs(batches, "part", 1):
+        about = table.filter(table["counts"].is_null())
+        if about.num_rows:
+            yield from about.append_column("often", pa.nulls(about.num_rows, pa.binary())).to_batches()
+        table = table.filter(table["counts"].is_valid())
+        part = table["part"].to_numpy()
+        edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else []
+        for x, y in zip(edges[:-1], edges[1:]):
+            own = table.slice(x, y - x)
+            each = [np.frombuffer(g, np.uint32) for g in own["grams"].to_pylist()]
+            grams_ = np.concatenate(each)
+            order = np.argsort(grams_)
+            sorted_ = grams_[order]
+            sizes = np.diff(np.append(np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])), len(sorted_)))
+            often = np.empty(len(grams_), np.uint16)
+            often[order] = np.repeat(np.minimum(sizes, 65_535), sizes)
+            ends = np.cumsum([len(g) for g in each])
+            yield from own.append_column("often", pa.array([often[e - len(g) : e].tobytes() for e, g in zip(ends, each)], pa.binary())).combine_chunks().to_batches()
+        words.trim()
+
+
+def _prefixes(threshold: float):
+    """(gram, uid) of as many grams of each set, the rarest first, as must hold one that any partner has there too.
+
+    A gram is its range and the low half of its hash. If two agree in that, they count and are listed as one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, "chunk", 1):
+            chunks: dict[int, list] = {}
+            for row in zip(*(table[k].to_pylist() for k in ("chunk", "part", "counts", "grams", "often"))):
+                chunks.setdefault(row[0], []).append(row[1:])
+            for rows in chunks.values():
+                uids, sizes = np.frombuffer(next(r[2] for r in rows if r[1] is None), np.int64).reshape(2, -1)
+                rows = [r for r in rows if r[1] is not None]
+                text = np.concatenate([np.repeat(np.arange(len(sizes)), np.frombuffer(r[1], np.uint32)) for r in rows])
+                gram = np.concatenate([np.frombuffer(r[2], np.uint32).astype(np.int64) | r[0] << 32 for r in rows])
+                often = np.concatenate([np.frombuffer(r[3], np.uint16) for r in rows])
+                order = np.lexsort((gram, often, text))
+                first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+                held = np.repeat(sizes - np.ceil(threshold * sizes * SLACK).astype(np.int64) + 1, sizes)
+                keep = order[np.arange(len(order)) - first < held]
+                keep = keep[often[keep] > 1]
+                for x in range(0, len(keep), 200_000):
+                    some = keep[x : x + 200_000]
+                    yield pa.record_batch({"gram": pa.array(gram[some]), "uid": pa.array(uids[text[some]])})
+            words.trim()
 
     return run
 
@@ -274,12 +327,12 @@ def _rooted(entries: DataFrame, known: DataFrame | None) -> DataFrame:
     return rooted.join(several, "list")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.5, leaf: int = 2, block: int = 400, sample: int = 2000, broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.5, leaf: int = 2, block: int = 400, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, uid, group_id, group_size, links, keep) for each distinct (doc_id, text): group_id is the least doc_id of
     its group, whose first row alone is kept; links counts the comparisons that confirmed it in its group, not all pairs.
 
-    The shuffles move 4 bytes a gram, and of documents that share enough grams with others 16 bytes a gram of the prefix
-    and the sets of pairs to compare. Texts never move.
+    The shuffles move 4 bytes a gram, and of documents that share enough grams with others 10 bytes a gram, 16 bytes a gram
+    of the prefix that others have too, and the sets of pairs to compare. Texts never move.
     """
     spark = docs.sparkSession
     own = docs.select(row_key().alias("uid"), "doc_id", "text")
@@ -300,9 +353,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, leaf: int = 2, bloc
     if not first.filter("n > different").isEmpty():
         sets = sets.dropDuplicates(["uid"])
     sets = written(sets, "sets")
-    some = F.broadcast(sets.select("uid").orderBy(F.xxhash64("uid"), "uid").limit(sample))
-    often = sets.join(some, "uid", "left_semi").select(F.explode("grams").alias("gram")).groupBy("gram").count().filter("count > 2").orderBy(F.desc("count"), "gram").limit(20_000).orderBy("gram").collect()
-    prefixes = sets.mapInArrow(_prefixes(np.array([r["gram"] for r in often], np.int64), np.array([r["count"] for r in often], np.int64), threshold), "gram long, uid long")
+    parcels = sets.select("uid", "grams").mapInArrow(_set_parcels(ranges), "part int, chunk long, counts binary, grams binary")
+    counted = parcels.repartitionById(ranges, F.col("part")).sortWithinPartitions("part").mapInArrow(_counted, "part int, chunk long, counts binary, grams binary, often binary")
+    prefixes = counted.repartition(ranges, "chunk").sortWithinPartitions("chunk").mapInArrow(_prefixes(threshold), "gram long, uid long")
     lists = prefixes.repartition(ranges, "gram").sortWithinPartitions("gram", "uid").mapInArrow(_lists, "uids array<long>").distinct()
     entries = written(lists.withColumn("list", F.monotonically_increasing_id()).select("list", F.explode("uids").alias("uid")), "entries")
     tried, rounds = None, 0
