@@ -117,6 +117,11 @@ def test_near_duplicates_compare_few_that_share_common_passages(spark, monkeypat
     assert rows["sets"] == n and rows["cross"] <= n // 2
 
 
+def test_descriptions_of_plans_stay_short(spark, documents):
+    """The driver keeps a description of each plan; those of token encoding hold the whole vocabulary if nothing ends them."""
+    assert len(bpe.add_tokens(documents)._jdf.queryExecution().toString()) < 100_000
+
+
 def test_near_duplicates_of_large_groups(spark, monkeypatch):
     """Work on a group of near copies grows as the group: with twice as many documents about twice as many rows are compared."""
     rng = random.Random(5)

@@ -43,8 +43,8 @@ class Layout:
         self.parts = -(-counts // SEGMENT)
         self.first = np.concatenate([[0], np.cumsum(self.parts)])
         within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.row = within % SEGMENT
-        self.column = np.repeat(self.first[:-1], counts) + within // SEGMENT
+        self.row = (within % SEGMENT).astype(np.uint8)
+        self.column = (np.repeat(self.first[:-1], counts) + within // SEGMENT).astype(np.int32)
         self.width = int(self.first[-1])
         self.order = np.argsort(-self.parts, kind="stable")
         self.longest = int(self.parts.max()) if len(self.parts) else 0
@@ -246,12 +246,14 @@ def fit(texts: list[str | None], toxic: np.ndarray, tokens: int = 400_000, steps
             known, n = np.unique(row, return_counts=True)
             often.append(known[(n > 1) & (known > 0)])
             del known, n
+            words.trim()
             yield row
 
     marked = telling(rows(), counts, toxic)
     if not len(marked):
         return None
     known = np.unique(np.concatenate([*often, marked]))
+    often.clear()
     v = len(known) + 1
     ids, tags = np.empty((1 + len(PREFIXES), counts.sum()), np.int32), np.zeros(counts.sum(), bool)
     for kind in range(len(ids)):
@@ -269,6 +271,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, tokens: int = 400_000, steps
         seen += [[((tag_before == i) & (tag == j)).sum() for j in (0, 1)] for i in (0, 1)]
         before, after = (k.astype(np.int32) for k in _neighbours(part[0], offsets, len(known)))
         parts.append(([*((0, k) for k in part), (1, before), (2, after)], tag, Layout(counts[x:y])))
+    words.trim()
     size = 3 * v + 5
     theta, first, second = np.zeros(size), np.zeros(size), np.zeros(size)
     for step in range(1, steps + 1):
