@@ -4,9 +4,11 @@ import base64
 import itertools
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -381,6 +383,30 @@ def test_bpe_over_documents(documents, coder):
     assert len(rows) == len(texts) and all(r.ids == coder.encode_ordinary(texts[r.doc_id]) and r.decoded == texts[r.doc_id] for r in rows)
 
 
+def test_bpe_broadcasts_small_parts(spark, coder, documents, monkeypatch):
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, x: sent.append(len(x[0])) or broadcast(sc, x))
+    out = bpe.encoded(documents, part=500)
+    assert len(sent) > 3 and max(sent) < 500 + 1000  # a part ends with an Arrow batch
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    assert all(r.ids == coder.encode_ordinary(texts[r.doc_id]) for r in out.collect())
+
+
+def test_bpe_of_a_batch_takes_little_memory():
+    """A worker splits a batch of any size piece by piece; what it holds on the way doesn't grow with the batch."""
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(300))
+    batch = pa.record_batch({"0": pa.array([text] * 2000)})
+    seam = bpe.seams(bpe.read_ranks())
+    run = bpe._looked_up([], "0", seam)
+    assert sum(len(b) for b in run(iter([batch.slice(0, 10)]))) == 10
+    tracemalloc.start()
+    assert sum(len(b) for b in run(iter([batch]))) == 2000
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24e6
+
+
 def test_decoding_skips_unknown_ids(spark):
     folds = bpe.Folds()
     row = spark.createDataFrame([([31373, -1, 10**6, None, 995],)], "ids array<int>").select(folds.decode(F.col("ids")).alias("t")).first()

@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
 Pieces of the texts are counted over all documents. The `head` most frequent are encoded once each; their encodings
-are broadcast, which bounds what is broadcast whatever the corpus (a piece of over `long_piece` bytes is never among
+are broadcast in parts of about `part` pieces, which bounds what is broadcast whatever the corpus (a piece of over `long_piece` bytes is never among
 them). Rarer pieces are encoded in the row in which they stand, each once a document, so no text and no piece position
 is ever shuffled. Both are encoded by the same fold: Spark higher-order functions over the array of the piece's bytes
 merge the neighbours of the least rank, the leftmost first, until no pair of neighbours has a rank. Ranks come from a
@@ -35,6 +35,8 @@ from .shared import batches, fresh, written
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 NONE = 2**31 - 1
 LONG, MANY = 64, 16
+#: Bytes of text that a worker splits at once, and pieces of one broadcast: the most that is held beside the table itself.
+CHUNK, PART = 1 << 18, 1 << 17
 
 
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -181,7 +183,7 @@ def _counted(seam: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0)
-            for a, b in words.chunks(texts):
+            for a, b in words.chunks(texts, CHUNK):
                 known, _, n = pieces.split(texts.slice(a, b - a)).cut(seam).distinct()
                 yield pa.record_batch({"piece": known.cast(pa.binary()), "n": pa.array(n.astype(np.int64))})
 
@@ -193,19 +195,44 @@ def piece_counts(docs: DataFrame, seam: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(_counted(seam), "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's pieces and ids as one Arrow stream."""
-    sink, writer = pa.BufferOutputStream(), None
-    for batch in batches:
-        writer = writer or pa.ipc.new_stream(sink, batch.schema)
-        writer.write_batch(batch)
-    if writer:
-        writer.close()
-        yield pa.record_batch({"stream": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+def _packed(most: int):
+    """A partition's pieces and ids as Arrow streams, each closed once it has so many pieces."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def stream() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as writer:
+                for batch in held:
+                    writer.write_batch(batch)
+            held.clear()
+            return pa.record_batch({"stream": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+            if sum(map(len, held)) >= most:
+                yield stream()
+        if held:
+            yield stream()
+
+    return run
+
+
+def _part(stream: bytes, kind: type) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """A stream's pieces: their hashes in order, they themselves, where their ids begin, and the ids."""
+    table = pa.ipc.open_stream(stream).read_all()
+    known, lists = table["piece"].combine_chunks(), table["ids"].combine_chunks()
+    hashes, starts = words.hash_each(known), np.asarray(lists.offsets)
+    order = np.argsort(hashes, kind="stable")
+    size = np.diff(starts)[order]
+    ids = gather(lists.values.to_numpy(), starts[order], size).astype(kind)
+    return hashes[order], known.take(pa.array(order)), np.concatenate([[0], np.cumsum(size)]).astype(np.int32), ids
 
-def _head(counts: DataFrame, folds: Folds, head: int, long_piece: int, kind: type) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """The most frequent pieces that occur twice at least, all of a count or none: their hashes in order, they themselves, where their ids begin, and the ids."""
+
+def _head(counts: DataFrame, folds: Folds, head: int, long_piece: int, kind: type, part: int) -> list:
+    """Broadcasts of the most frequent pieces that occur twice at least, all of a count or none; the driver holds one part at a time."""
     have = counts.filter((F.col("n") > 1) & (F.octet_length("piece") <= long_piece))
     least, total = 2, 0
     for row in sorted(have.groupBy("n").count().collect(), key=lambda r: -r["n"]):
@@ -214,23 +241,11 @@ def _head(counts: DataFrame, folds: Folds, head: int, long_piece: int, kind: typ
             least = row["n"] + 1
             break
     coded = written(have.filter(F.col("n") >= least).select("piece", folds.encode(F.col("piece")).alias("ids")), "head")
-    known, sizes, ids, hashes = [pa.array([], pa.binary())], [np.zeros(0, np.int32)], [np.zeros(0, kind)], [np.zeros(0, np.uint64)]
-    for row in coded.mapInArrow(_packed, "stream binary").toLocalIterator():
-        table = pa.ipc.open_stream(row.stream).read_all()
-        lists = table["ids"].combine_chunks()
-        known.append(table["piece"].combine_chunks())
-        hashes.append(words.hash_each(known[-1]))
-        sizes.append(np.diff(np.asarray(lists.offsets)).astype(np.int32))
-        ids.append(lists.flatten().to_numpy().astype(kind))
-    own, size, flat = np.concatenate(hashes), np.concatenate(sizes), np.concatenate(ids)
-    ids.clear(), sizes.clear(), hashes.clear()
-    order = np.argsort(own, kind="stable")
-    starts, out, at = np.cumsum(size) - size, np.empty_like(flat), 0
-    for k in range(0, len(order), 1 << 16):
-        some = gather(flat, starts[order[k : k + (1 << 16)]], size[order[k : k + (1 << 16)]])
-        out[at : at + len(some)] = some
-        at += len(some)
-    return own[order], pa.concat_arrays(known).take(pa.array(order)), np.concatenate([[0], np.cumsum(size[order])]).astype(np.int32), out
+    out = []
+    for row in coded.mapInArrow(_packed(part), "stream binary").toLocalIterator():
+        out.append(counts.sparkSession.sparkContext.broadcast(_part(row.stream, kind)))
+        words.trim()
+    return out
 
 
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -239,36 +254,42 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
 
 
-def _places(own: pa.Array, hashes: np.ndarray, known: pa.Array) -> np.ndarray:
-    """The places in known of the pieces, -1 where one isn't there. Hashes find them, their bytes confirm them."""
-    if not len(known):
-        return np.full(len(own), -1)
-    at = np.minimum(np.searchsorted(hashes, h := words.hash_each(own)), len(hashes) - 1)
-    return np.where((hashes[at] == h) & pc.equal(own, known.take(pa.array(at))).to_numpy(zero_copy_only=False), at, -1)
+def _coded(own: pa.Array, parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each piece the number of its ids, 0 if it is in no part, and their beginning in the third. Hashes find pieces, their bytes confirm them."""
+    mine, size, begin = words.hash_each(own), np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+    ids, total = [], 0
+    for hashes, known, starts, values in parts:
+        at = np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)
+        have = np.flatnonzero(hashes[at] == mine)
+        have = have[pc.equal(own.take(pa.array(have)), known.take(pa.array(at[have]))).to_numpy(zero_copy_only=False)]
+        first = starts[at[have]]
+        size[have] = n = starts[at[have] + 1] - first
+        begin[have] = total + np.cumsum(n) - n
+        ids.append(gather(values, first, n))
+        total += len(ids[-1])
+    return size, begin, np.concatenate([*ids, np.zeros(1, np.uint16)])
 
 
-def _looked_up(shared, place: str, seam: np.ndarray):
+def _looked_up(shared: list, place: str, seam: np.ndarray):
     """Two more columns: ids, in which -k - 1 stands for piece k of the second, the document's rare pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known, starts, values = shared.value
-        sizes, values = np.diff(starts), values if len(values) else np.zeros(1, np.int32)
+        parts = [x.value for x in shared]
         for batch in batches:
-            for a, b in words.chunks(batch.column(place)):
+            for a, b in words.chunks(batch.column(place), CHUNK):
                 part = batch.slice(a, b - a)
                 texts = part.column(place)
                 p = pieces.split(texts).cut(seam)
                 own, which, _ = p.distinct()
-                at = _places(own.cast(pa.binary()), hashes, known)[which]
-                rare = np.flatnonzero(at < 0)
+                sizes, begins, values = _coded(own.cast(pa.binary()), parts)
+                rare = np.flatnonzero(sizes[which] == 0)
                 text = np.repeat(np.arange(b - a), p.counts)
                 # The rare pieces, each once a text.
                 keys, place_in = np.unique(text[rare] * np.int64(len(own) + 1) + which[rare], return_inverse=True)
                 of = keys // (len(own) + 1)
                 first = np.searchsorted(of, np.arange(b - a + 1))
-                size = np.where(at < 0, 1, sizes[at] if len(sizes) else 1)
-                begin = np.where(at < 0, 0, starts[:-1][at] if len(sizes) else 0)
-                flat = gather(values, begin, size).astype(np.int32)
+                size = np.maximum(sizes, 1)[which]
+                flat = gather(values, begins[which], size).astype(np.int32)
                 flat[np.cumsum(size)[rare] - 1] = first[text[rare]] - place_in - 1
                 ends = np.concatenate([[0], np.cumsum(size)])[p.offsets].astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
@@ -280,17 +301,14 @@ def _looked_up(shared, place: str, seam: np.ndarray):
     return run
 
 
-def encode(docs: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY, head: int = 1 << 21, long_piece: int = 64) -> DataFrame:
+def encode(docs: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY, head: int = 1 << 21, long_piece: int = 64, part: int = PART) -> DataFrame:
     """docs and one more column, the token ids of text."""
     ranks, folds = read_ranks(vocabulary), Folds(vocabulary)
     seam = seams(ranks)
-    batches(docs.sparkSession)
+    batches(docs.sparkSession, 1000, "2m")
     words.trim()
     counts = written(piece_counts(docs, seam), "pieces")
-    table = _head(counts, folds, head, long_piece, np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.int32)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    del table
-    words.trim()
+    shared = _head(counts, folds, head, long_piece, np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.int32, part)
     names = docs.columns
     plain = docs.toDF(*[str(k) for k in range(len(names))])
     schema = T.StructType([T.StructField(str(k), f.dataType) for k, f in enumerate(docs.schema)] + [T.StructField(str(len(names)), T.ArrayType(T.IntegerType())), T.StructField(str(len(names) + 1), T.ArrayType(T.BinaryType()))])
