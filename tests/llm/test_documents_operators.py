@@ -124,6 +124,16 @@ def test_descriptions_of_plans_stay_short(spark, documents):
     assert len(bpe.add_tokens(documents)._jdf.queryExecution().toString()) < 100_000
 
 
+def test_descriptions_of_nodes_stay_short(spark, documents):
+    """Each execution is announced with a description of every node, which the driver keeps; a length of the plan's text doesn't end them."""
+
+    def letters(info):
+        return len(info.simpleString()) + sum(letters(info.children().apply(k)) for k in range(info.children().size()))
+
+    plan = bpe.add_tokens(documents)._jdf.queryExecution().executedPlan()
+    assert letters(spark._jvm.org.apache.spark.sql.execution.SparkPlanInfo.fromSparkPlan(plan)) < 20_000
+
+
 def test_near_duplicates_of_large_groups(spark, monkeypatch):
     """Work on a group of near copies grows as the group: with twice as many documents about twice as many rows are compared."""
     rng = random.Random(5)

@@ -33,11 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
 def batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
     """Let Arrow batches of the session's further plans have so many rows and bytes at most: executor and worker both hold one.
 
-    Descriptions of plans, of which the driver keeps a thousand, end at 20,000 characters: they repeat literal tables whole.
+    Descriptions of plans, of which the driver keeps a thousand, end at 20,000 characters and name no fields: they repeat
+    literal tables whole. That length ends only the text of a plan, not the descriptions of its nodes, which are kept and logged too.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     spark.conf.set("spark.sql.maxPlanStringLength", 20_000)
+    spark.conf.set("spark.sql.debug.maxToStringFields", 0)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
