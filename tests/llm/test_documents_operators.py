@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trovewise.llm import bpe, decontaminate, line_dedup, near_dedup, packing, queries, toxicity
+from trovewise.llm import bpe, decontaminate, line_dedup, near_dedup, packing, queries, shared, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, tw_key string, n_chars long"
@@ -134,6 +134,41 @@ def test_descriptions_of_nodes_stay_short(spark, documents):
     assert letters(spark._jvm.org.apache.spark.sql.execution.SparkPlanInfo.fromSparkPlan(plan)) < 20_000
 
 
+def test_near_duplicates_take_few_executions(spark):
+    """The driver keeps the plans of each execution; most were rounds of components, of which a few links need none."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    texts = near_copies(random.Random(5), 8)
+    got, counts = [], []
+    for together in (1_000_000, 0):
+        spark.range(1).count()
+        before = store.executionsList().last().executionId()
+        got.append(sorted((r.doc_id, r.group_id, r.links) for r in near_dedup.near_duplicates(docs_of(spark, texts), together=together).collect()))
+        counts.append(store.executionsList().last().executionId() - before)
+    assert got[0] == got[1] and counts[0] <= 45 < counts[1], counts
+
+
+def test_components_in_one_task_are_those_of_rounds(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randint(-900, 900), rng.randint(-900, 900)) for _ in range(700)] + [(k, k + 1) for k in range(2000, 2300)] + [(5000, k) for k in range(4000, 4100)]
+    edges = spark.createDataFrame([*pairs, *pairs[:50]], "a long, b long")
+    found = [sorted(map(tuple, near_dedup.components(edges, together).collect())) for together in (True, False)]
+    assert found[0] == found[1] and {2000: 2000, 2300: 2000, 5000: 4000}.items() <= dict(found[0]).items()
+
+
+def test_components_in_one_task_take_little_memory():
+    rng = np.random.default_rng(7)
+    batches = [pa.record_batch({"a": pa.array(rng.integers(-(2**62), 2**62, 2000)), "b": pa.array(rng.integers(-(2**62), 2**62, 2000))}) for _ in range(500)]
+    tracemalloc.start()
+    assert sum(b.num_rows for b in near_dedup._roots(iter(batches))) == 2_000_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6
+
+
+def test_freed_native_memory_of_the_driver_can_be_given_back(spark):
+    assert shared._trim(spark)
+
+
 def test_near_duplicates_of_large_groups(spark, monkeypatch):
     """Work on a group of near copies grows as the group: with twice as many documents about twice as many rows are compared."""
     rng = random.Random(5)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import batches, fresh, release, row_key, written
+from .shared import batches, fresh, release, row_key, rows, written
 
 GRAM, BITS, SLACK = 3, 2048, 1 - 1e-12
 
@@ -278,8 +278,9 @@ def _beside(sets: DataFrame, pairs: DataFrame, broadcast_rows: int, *columns: Co
 
     While there are at most broadcast_rows pairs they are broadcast, so that only sets of b move to those of a.
     """
-    by_a = pairs.select("a").distinct()
-    if pairs.count() <= broadcast_rows:
+    few = rows(pairs) <= broadcast_rows
+    pairs, by_a = pairs.select("a", "b"), pairs.select("a").distinct()
+    if few:
         pairs, by_a = F.broadcast(pairs), F.broadcast(by_a)
     right = sets.select(F.col("uid").alias("b"), *(c.alias(k) for c, k in zip(columns, "yn"))).join(pairs, "b")
     return right.join(sets.select(F.col("uid").alias("a"), *(c.alias(k) for c, k in zip(columns, "xm"))).join(by_a, "a", "left_semi"), "a")
@@ -298,11 +299,34 @@ def _exact(sets: DataFrame, pairs: DataFrame, threshold: float, broadcast_rows:
     return written(_beside(sets, pairs, broadcast_rows, F.col("grams")).filter(reach).select("a", "b"), "contracted")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As components(), of all edges in one task: roots hook on to the least root beside them, then every path is cut short."""
+    each = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+    if not each:
+        return
+    ids, place = np.unique(np.concatenate([k for pair in zip(*each) for k in pair]), return_inverse=True)
+    x, y = np.split(place, 2)
+    root = np.arange(len(ids))
+    while (root[x] != root[y]).any():
+        p, q = root[x], root[y]
+        least = np.minimum(p, q)
+        np.minimum.at(root, p, least)
+        np.minimum.at(root, q, least)
+        while ((after := root[root]) != root).any():
+            root = after
+    for k in range(0, len(ids), 200_000):
+        yield pa.record_batch({"uid": pa.array(ids[k : k + 200_000]), "root": pa.array(ids[root[k : k + 200_000]])})
+    words.trim()
+
+
+def components(edges: DataFrame, together: bool = False) -> DataFrame:
     """(uid, root): the least vertex of each vertex's component, by minimum labels with pointer jumping.
 
-    Every round is a written table, so lineage doesn't grow; rounds are logarithmic in the longest shortest path.
+    together: one task has all edges in memory, and the driver one execution, not two in every round, whose plans it keeps.
+    Otherwise every round is a written table, so lineage doesn't grow; rounds are logarithmic in the longest shortest path.
     """
+    if together:
+        return written(edges.select("a", "b").coalesce(1).mapInArrow(_roots, "uid long, root long"), "label")
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("uid"), F.least("a", "m").alias("root"))
     label = written(label, "label")
@@ -327,12 +351,13 @@ def _rooted(entries: DataFrame, known: DataFrame | None) -> DataFrame:
     return rooted.join(several, "list")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.5, leaf: int = 2, block: int = 400, broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.5, leaf: int = 2, block: int = 400, broadcast_rows: int = 1_000_000, together: int = 1_000_000) -> DataFrame:
     """(doc_id, uid, group_id, group_size, links, keep) for each distinct (doc_id, text): group_id is the least doc_id of
     its group, whose first row alone is kept; links counts the comparisons that confirmed it in its group, not all pairs.
 
     The shuffles move 4 bytes a gram, and of documents that share enough grams with others 10 bytes a gram, 16 bytes a gram
-    of the prefix that others have too, and the sets of pairs to compare. Texts never move.
+    of the prefix that others have too, and the sets of pairs to compare. Texts never move. Components of up to `together`
+    links are found in one task, of more by rounds of joins, with the same result.
     """
     spark = docs.sparkSession
     own = docs.select(row_key().alias("uid"), "doc_id", "text")
@@ -345,7 +370,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, leaf: int = 2, bloc
     first = written(every.groupBy("whole").agg(F.min("uid").alias("rep"), F.max("suspect").alias("suspect"), F.count("*").alias("n"), F.count_distinct("uid").alias("different")), "first")
     same = every.select("uid", "whole").join(first, "whole").filter("uid <> rep").select(F.col("rep").alias("a"), F.col("uid").alias("b")).distinct()
     edges = written(same, "edges")
-    known = None if edges.isEmpty() else components(edges)
+    n_edges = rows(edges)
+    known = components(edges, n_edges <= together) if n_edges else None
     suspects = first.filter("suspect").select(F.col("rep").alias("uid"))
     if suspects.count() <= broadcast_rows:
         suspects = F.broadcast(suspects)
@@ -372,15 +398,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, leaf: int = 2, bloc
             star = star.join(tried, ["a", "b"], "left_anti")
         pairs = written(star.groupBy("root").agg(F.max_by(F.struct("a", "b"), F.struct("n", "other")).alias("pair")).select("pair.a", "pair.b").distinct(), "proposed")
         release(groups)
-        n = pairs.count()
+        n = rows(pairs)
         if not n:
             break
         more = _exact(sets, _likely(sets, pairs, threshold, broadcast_rows), threshold, broadcast_rows)
         tried = pairs if tried is None else tried.union(pairs)
-        confirmed = more.count()
+        confirmed = rows(more)
         if confirmed:
-            edges = edges.union(more)
-            known = components(edges)
+            edges, n_edges = edges.union(more), n_edges + confirmed
+            known = components(edges, n_edges <= together)
         if confirmed * 10 < n:
             break
     rooted = _rooted(entries, known).groupBy("list", "root").agg(F.collect_list("uid").alias("uids"))
@@ -399,16 +425,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, leaf: int = 2, bloc
         else:
             rest = rest.select("a", "b", F.col("a").alias("p"), F.col("b").alias("q"))
         rest = written(rest, "compared")
-        some = rest.select("a", "b")
+        some = rest
         if not last:
             # Up to two pairs of any two groups come first, which mostly settle the others.
             some = written(rest.groupBy("p", "q", F.pmod(F.xxhash64("a", "b"), F.lit(2))).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b"), "some")
-        if some.isEmpty():
+        if not rows(some):
             break
         more = _exact(sets, some, threshold, broadcast_rows)
-        if not more.isEmpty():
-            edges = edges.union(more)
-            known = components(edges)
+        if rows(more):
+            edges, n_edges = edges.union(more), n_edges + rows(more)
+            known = components(edges, n_edges <= together)
         rest = rest.select("a", "b").join(some, ["a", "b"], "left_anti")
     if known is None:
         known = edges.select(F.col("a").alias("uid"), F.col("b").alias("root"))
@@ -429,7 +455,7 @@ def drop_near_duplicates(docs: DataFrame, broadcast_rows: int = 1_000_000, **how
     dropped = near_duplicates(docs, broadcast_rows=broadcast_rows, **how).filter(~F.col("keep")).select("uid", F.lit(True).alias("gone"))
     repeated = docs.select(row_key().alias("uid")).groupBy("uid").count().filter("count > 1").select("uid", F.lit(False).alias("gone"))
     marks = written(dropped.union(repeated).groupBy(F.col("uid").alias(name)).agg(F.max("gone").alias(gone)), "marks")
-    if marks.count() <= broadcast_rows:
+    if rows(marks) <= broadcast_rows:
         marks = F.broadcast(marks)
     marked = docs.withColumn(key, row_key()).join(marks, F.col(key) == F.col(name), "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]

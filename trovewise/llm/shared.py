@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: set[str] = set()
+_relieved = {"at": 0.0}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +45,38 @@ def batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
     spark.conf.set("spark.sql.debug.maxToStringFields", 0)
 
 
+def _trim(spark: SparkSession) -> bool:
+    """Let the JVM give back the native memory that it has freed; False where it has no such command."""
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    name = jvm.java.lang.Class.forName
+    kinds = ["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"]
+    types, values = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+    for k, kind in enumerate(kinds):
+        types[k] = name(kind)
+    values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        # The server's class is not exported, so its method is that of the interface.
+        name("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JJavaError:
+        return False
+    return True
+
+
+def relieve(spark: SparkSession, every: float = 10) -> None:
+    """Give the driver's unused memory back, at most once in so many seconds: garbage once its heap has grown to half of its limit, and freed native memory.
+
+    A session of many short executions leaves garbage of plans and what their compilation freed. The heap grows with the
+    first rather than to be collected, and native memory stays with the process, until neither fits beside the other.
+    """
+    if time.monotonic() - _relieved["at"] < every:
+        return
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if 2 * runtime.totalMemory() > runtime.maxMemory():
+        spark.sparkContext._jvm.java.lang.System.gc()
+    _trim(spark)
+    _relieved["at"] = time.monotonic()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
@@ -50,9 +85,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     _written.add(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.written_path = path
+    relieve(spark)
     return back
 
 
+def rows(table: DataFrame) -> int:
+    """The number of rows of a table of written(), counted once."""
+    if not hasattr(table, "written_rows"):
+        table.written_rows = table.count()
+    return table.written_rows
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for name in paths:
