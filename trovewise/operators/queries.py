@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import Analyzer, split_query
 from .index import Index
+from .search import and_or_counts
 
 
 def parse(lines: DataFrame, analyzer: Analyzer = Analyzer(), query: str = "query", qid: str | None = None) -> DataFrame:
@@ -69,9 +70,7 @@ def stemmed(lines: DataFrame, stemmer: str = "porter2", query: str = "query", qi
 
 def selective(queries: DataFrame, index: Index, most: float = 0.005) -> DataFrame:
     """(qid, n_and, n_or): queries of whose documents with any term less than so large a part has all."""
-    n_terms = queries.groupBy("qid").agg(F.count_distinct("term").alias("n_terms"))
-    hits = queries.select("qid", "term").distinct().join(index.postings.select("term", "doc_id"), "term").groupBy("qid", "doc_id").agg(F.count("*").alias("n"))
-    counts = hits.join(n_terms, "qid").groupBy("qid").agg(F.count_if(F.col("n") == F.col("n_terms")).alias("n_and"), F.count("*").alias("n_or"))
+    counts = and_or_counts(queries.select("qid", "term").distinct(), index.postings).select("qid", "n_and", "n_or")
     return counts.filter(F.col("n_and") < most * F.col("n_or"))
 
 
