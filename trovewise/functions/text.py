@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -40,6 +41,18 @@ def without(tokens: Column, stopwords: tuple[str, ...]) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(*stopwords)) if stopwords else tokens
 
 
+_PLAIN = bytes(c | 0x20 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+_RARE = re.compile(rb"[a-zA-Z]\.[a-zA-Z]+\.|[a-zA-Z0-9]'[a-zA-Z]")
+_ENGLISH = re.compile(ENGLISH.encode())
+
+
+def plain_terms(text: bytes) -> list[bytes]:
+    """What english and lowercase make of a text. Without abbreviations and apostrophes terms are what stands between other bytes."""
+    if not _RARE.search(text):
+        return text.translate(_PLAIN).split()
+    return [(t.replace(b".", b"") if b"." in t else t.split(b"'")[0]).lower() for t in _ENGLISH.findall(text)]
+
+
 def split_query(query: Column) -> tuple[Column, Column]:
     """(id, rest) of a query at its first colon; the id is null where there is none."""
     has = F.instr(query, ":") > 0
@@ -75,6 +88,11 @@ class Analyzer:
             if name not in known:
                 raise ValueError(f"unknown: {name}; known: {', '.join(known)}")
 
+    @property
+    def is_plain(self) -> bool:
+        """Whether plain_terms finds the same terms, but for stop words."""
+        return not self.strip_html and self.filters == ("lowercase",) and TOKENIZERS[self.tokenizer] is english and FILTERS["lowercase"] is lowercase
+
     def __call__(self, text: Column) -> Column:
         """The array of terms; a null text has none."""
         text, filters = F.coalesce(html.strip(text) if self.strip_html else text, F.lit("")), self.filters

@@ -54,10 +54,19 @@ def save(index: ix.Index, path: str, encoding: str = "block_simdbp", quantize_bi
         raise ValueError("what was written differs from the index")
 
 
+def save_counts(docs: DataFrame, path: str, analyzer: Analyzer = Analyzer(), doc_id: str = "doc_id", text: str = "text") -> None:
+    """Writes each document's counted terms under a path."""
+    ix.counted_documents(ix.spread(docs), analyzer, doc_id, text).write.parquet(f"{path}/forward")
+
+
+def load_counts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/forward")
+
+
 def save_collection(docs: DataFrame, path: str, analyzer: Analyzer = Analyzer(), doc_id: str = "doc_id", text: str = "text", **how) -> None:
     """Analyses a collection once: writes each document's counted terms under a path, and inverts what was written."""
-    ix.counted(ix.forward_index(ix.spread(docs), analyzer, doc_id, text)).write.parquet(f"{path}/forward")
-    save(ix.from_counts(docs.sparkSession.read.parquet(f"{path}/forward")), path, **how)
+    save_counts(docs, path, analyzer, doc_id, text)
+    save(ix.from_counts(load_counts(docs.sparkSession, path)), path, **how)
 
 
 def save_bounds(spark: SparkSession, path: str, scorer: str = "bm25", k: int = 1000, block_size: int | None = 64, penalty: float | None = None) -> None:
