@@ -131,3 +131,99 @@ def test_blocks_hold_whole_documents(monkeypatch, hits):
     sums = next(batch.best_of_pairs(3)(asked, blocks()))
     for q in range(2):
         assert sorted((s for q2, s in zip(sums["q"], sums["score"]) if q2 == q), reverse=True) == sorted((s for (q2, _), s in score.items() if q2 == q), reverse=True)[:3]
+
+
+def _cut_as_before(scores, penalty, eps1=0.01, eps2=0.4):
+    """Round 2's loop over one list."""
+    n, total = len(scores), np.concatenate([[0.0], np.cumsum(scores)])
+    limits, cost = [], penalty
+    while cost < penalty / eps1:
+        limits.append(cost)
+        cost *= 1 + eps2
+    limits.append(cost)
+    best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+    best[0] = 0.0
+    ends, most = [0] * len(limits), [0.0] * len(limits)
+    for i in range(n):
+        for w, limit in enumerate(limits):
+            if ends[w] <= i:
+                ends[w], most[w] = i, 0.0
+            elif i and scores[i - 1] >= most[w]:
+                most[w] = scores[i : ends[w]].max()
+            while ends[w] < n:
+                top = max(most[w], scores[ends[w]])
+                if ends[w] > i and (ends[w] + 1 - i) * top - (total[ends[w] + 1] - total[i]) + penalty > limit:
+                    break
+                most[w], ends[w] = top, ends[w] + 1
+            price = best[i] + (ends[w] - i) * most[w] - (total[ends[w]] - total[i]) + penalty
+            if price < best[ends[w]]:
+                best[ends[w]], back[ends[w]] = price, i
+            if ends[w] == n:
+                break
+    edges, at = [], n
+    while at:
+        edges.append((int(back[at]), int(at)))
+        at = back[at]
+    return edges[::-1]
+
+
+def test_lists_are_cut_alike_and_without_a_call_for_each(spark):
+    rng = np.random.default_rng(5)
+    lists = {f"t{i:02}": np.round(rng.gamma(1, 3, int(n)), 3) for i, n in enumerate([1, 1, 2, 5, 40, 300, 1500, 1])}
+    rows = [(t, 3 * d, float(s)) for t, own in lists.items() for d, s in enumerate(own)]
+    found = ix.variable_blocks(spark.createDataFrame(rows, "term string, doc_id long, score double"), 4.0)
+    plan = plan_of(found)
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    want = []
+    for t, own in lists.items():
+        edges = _cut_as_before(own, 4.0)
+        want += [(t, k, 3 * a, 3 * (edges[k + 1][0] if k + 1 < len(edges) else len(own)) - (1 if k + 1 < len(edges) else 3), b - a, own[a:b].max()) for k, (a, b) in enumerate(edges)]
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def _bisect_as_before(docs, depth, iterations):
+    """Round 2's recursion, whose every node was as wide as the collection's terms."""
+    n_terms = max((int(d.max()) for d in docs if len(d)), default=-1) + 1
+
+    def split(own, level):
+        if level == 0 or len(own) < 2:
+            return np.sort(own)
+        own, half = np.sort(own), len(own) // 2
+        left, right = own[:half].copy(), own[half:].copy()
+        logs = np.log2(max(1, len(left))), np.log2(max(1, len(right)))
+        degrees = lambda side: np.bincount(np.concatenate([docs[i] for i in side]).astype(int), minlength=n_terms).astype(float)
+        for _ in range(iterations):
+            a, b = degrees(left), degrees(right)
+            now = reorder._expected(logs, a, b)
+            to_right, to_left = now - reorder._expected(logs, np.maximum(a - 1, 0), b + 1), now - reorder._expected(logs, a + 1, np.maximum(b - 1, 0))
+            gain_left, gain_right = (np.round([to[docs[i]].sum() for i in side], 6) for to, side in ((to_right, left), (to_left, right)))
+            i, j = np.argsort(-gain_left, kind="stable"), np.argsort(-gain_right, kind="stable")
+            pairs = gain_left[i[: len(right)]] + gain_right[j[: len(left)]]
+            n = int(np.argmax(np.append(pairs <= 0, True)))
+            if n == 0:
+                break
+            i, j = i[:n], j[:n]
+            left[i], right[j] = right[j], left[i]
+            left.sort(), right.sort()
+        return np.concatenate([split(left, level - 1), split(right, level - 1)])
+
+    return split(np.arange(len(docs)), depth)
+
+
+def test_bisection_finds_the_order_of_before_at_a_cost_of_its_postings():
+    rng = np.random.default_rng(8)
+    docs = [np.unique(rng.integers(0, 400, rng.integers(0, 30))) for _ in range(301)]
+    sizes, terms = np.array([len(d) for d in docs]), np.concatenate(docs)
+    assert reorder.bisect(sizes, terms, 5, 20).tolist() == _bisect_as_before(docs, 5, 20).tolist()
+    assert reorder.bisect(np.zeros(3, int), np.zeros(0, int), 2, 5).tolist() == [0, 1, 2]
+    # Numbers of terms do not matter: arrays as wide as the largest would take 8 TB.
+    assert reorder.bisect(sizes, terms * 10**12, 5, 20).tolist() == reorder.bisect(sizes, terms, 5, 20).tolist()
+
+
+def test_no_task_numbers_a_whole_shard(spark):
+    from trovewise.operators import shards
+
+    rows = [(s, f"t{i}") for s in (0, 2) for i in range(50 + s)]
+    found = shards.lexicons(spark.createDataFrame(rows + rows, "shard_id long, term string"))
+    assert "PARTITION BY shard_id" not in plan_of(found) and "windowspecdefinition(shard_id" not in plan_of(found)
+    assert sorted(map(tuple, found.collect())) == [(s, t, i) for s in (0, 2) for i, t in enumerate(sorted(f"t{i}" for i in range(50 + s)))]

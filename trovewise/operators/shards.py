@@ -31,8 +31,14 @@ def by_lists(docs: DataFrame, lists: DataFrame, title: str = "title") -> DataFra
 
 def local_lexicon(postings: DataFrame, shards: DataFrame) -> DataFrame:
     """(shard_id, term, term_id): the terms of each shard, numbered in order within it."""
-    own = postings.join(shards, "doc_id").select("shard_id", "term").distinct()
-    return own.withColumn("term_id", (F.row_number().over(Window.partitionBy("shard_id").orderBy("term")) - 1).cast("bigint"))
+    return lexicons(postings.join(shards, "doc_id").select("shard_id", "term"))
+
+
+def lexicons(terms: DataFrame) -> DataFrame:
+    """(shard_id, term, term_id) of rows (shard_id, term): numbered over all shards and from each one's first, so no task holds a shard's terms."""
+    placed = dense_ids(terms.select("shard_id", "term").distinct(), ["shard_id", "term"], "place")
+    first = placed.groupBy("shard_id").agg(F.min("place").alias("first"))
+    return placed.join(first, "shard_id").select("shard_id", "term", (F.col("place") - F.col("first")).alias("term_id"))
 
 
 def local_ids(shards: DataFrame) -> DataFrame:
